@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding, url_filter
+from . import decontaminate, exact_dedup, langid, mixing, quality, sharding, url_filter, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -29,5 +41,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_sharding": op7_sharding}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_sharding": op7_sharding, "op10_decontamination": op10_decontamination}
 ORACLES |= {"op4_exact_dedup": exact_dedup.ORACLE}
