@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, quality, sharding, substring_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, langid, mixing, near_dedup, quality, sharding, substring_dedup, url_filter, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(read(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_report(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES |= {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_sharding": op7_sharding, "op9_substring_dedup": op9_substring_dedup, "op10_decontamination": op10_decontamination}
+QUERIES |= {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_sharding": op7_sharding, "op8_near_dedup": op8_near_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_decontamination": op10_decontamination}
 ORACLES |= {"op4_exact_dedup": exact_dedup.ORACLE}
