@@ -61,13 +61,14 @@ def affine(n: int, key: str) -> tuple[int, int]:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, block: int = 128, slots: int = 4096, seed: int = 7, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Per document ``doc_id, size, source_size, target, taken`` (and ``_src, _bucket, _n``, which identify the row), and the draws.
+    """Per document ``doc_id, _text, size, source_size, target, taken`` (``_text``: a hash of the text), and the draws.
 
     Draws: ``shard, slot, src, pass, index``, one row for each slot of the mix; joined by ``(src, index)`` with
     packed blocks they are the output shards.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", docs["source"].cast("string").alias("source"), word_count(docs["text"].cast("string")).alias("size"))
+    text = docs["text"].cast("string")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text"), docs["source"].cast("string").alias("source"), word_count(text).alias("size"))
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in found]
@@ -83,8 +84,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, bl
     # one row for each source, which the driver has planned: bounded by the mixture
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), schema)))
     t = F.broadcast(table.select(F.col("source").alias("_source"), "src", "source_size", "target"))
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "src", "size", "source_size", "target")
-    packed = rank_in_groups(rows, ["src"], F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)), [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("size")], "start", F.col("size"))
+    rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "_text", "src", "size", "source_size", "target")
+    packed = rank_in_groups(rows, ["src"], F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)), [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("_text")], "start", F.col("size"))
 
     drawn = draw(table, at, block, slots, seed)
     times = drawn.groupBy("src", "index").agg(F.count(F.lit(1)).alias("times"))
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, bl
     pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * b) - F.greatest(F.col("start"), F.col("index") * b))
     taken = pieces.join(times, ["src", "index"]).groupBy("src", "_bucket", "_n").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = packed.join(taken, ["src", "_bucket", "_n"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "src", "_bucket", "_n"), drawn
+    return out.select("doc_id", "_text", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), drawn
 
 
 def draw(table: DataFrame, total: int, block: int, slots: int, seed: int) -> DataFrame:
@@ -121,3 +122,18 @@ def copies(taken: Column, size: Column, key: Column, most: int = 3) -> Column:
     share = F.when(size > 0, taken / size).otherwise(F.lit(0.0))
     u = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 20)) / float(1 << 20)
     return F.least(F.floor(share + u), F.lit(most)).cast("int")
+
+
+def mix_documents(docs: DataFrame, **params) -> DataFrame:
+    """The documents of the mix, with their columns: each as often as the words taken of it ask for, on average.
+
+    A document of which a part is taken is kept whole or left out by a hash, so documents stay whole and
+    sources still come near their targets. Rows with equal id and text are mixed as one, with their copies added up.
+    """
+    most = params.get("most", 3)
+    taken = mix(docs, **params)[0]
+    times = taken.select("doc_id", "_text", copies(F.col("taken"), F.col("size"), F.col("_text"), most).alias("_copies"))
+    times = times.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.col("_text").alias("_k2")).agg(F.sum("_copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    one = rows.join(times, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
