@@ -5,34 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import py_int, strip_left, strip_right
+from vellum.functions.text import py_strip, strip_left, strip_right, stripped_int
 
 #: Open bounds of the years that the first two stages accept.
 AFTER, BEFORE = 1500, 1900
 
 
-def normalised_date(raw: Column) -> Column:
-    """Struct of ``date_convert`` (a string: the year, or the input with ``l`` as ``1``) and ``year`` (null if unresolved).
+def clean_dates(pages: DataFrame, column: str = "date") -> DataFrame:
+    """Adds ``date_convert`` (a string: the year, or the input with ``l`` as ``1``) and ``year`` (null if unresolved).
 
     Stages: the first four characters after leading brackets and dashes; else the last four before trailing dots,
     brackets and question marks; else a year anywhere, brackets and dots left out. The first stage that finds an
     integer decides, in range or not; the third takes any year from 1500 to 1899. Null stays null.
-    """
-    d = F.translate(raw, "l", "1")
-    head = py_int(F.substring(strip_left(strip_left(d, "["), "-"), 1, 4))
-    tail = py_int(F.substring(strip_right(strip_right(strip_right(d, "."), "]"), "?"), -4, 4))
-    number = F.coalesce(head, tail)
-    found = F.regexp_extract(F.regexp_replace(d, r"[\[\].]", ""), r"(1[5-8][0-9]{2})", 1).try_cast("int")
-    year = F.when(number.isNotNull(), F.when((number > AFTER) & (number < BEFORE), number)).otherwise(found)
-    return F.struct(F.coalesce(year.cast("string"), d).alias("date_convert"), year.alias("year"))
-
 
-def clean_dates(pages: DataFrame, column: str = "date") -> DataFrame:
-    """Adds ``date_convert`` and ``year``."""
-    return pages.withColumn("_d", normalised_date(F.col(column))).withColumns({"date_convert": F.col("_d.date_convert"), "year": F.col("_d.year")}).drop("_d")
+    Each step is a column of its own, so that no expression is planned or evaluated twice.
+    """
+    d = F.col("_d")
+    steps = [
+        {"_d": F.translate(F.col(column), "l", "1")},
+        {"_head": F.substring(strip_left(strip_left(d, "["), "-"), 1, 4), "_tail": F.substring(strip_right(strip_right(strip_right(d, "."), "]"), "?"), -4, 4)},
+        {"_head": py_strip("_head"), "_tail": py_strip("_tail")},
+        {"_number": F.coalesce(stripped_int(F.col("_head")), stripped_int(F.col("_tail")))},
+        {"_found": F.when(F.col("_number").isNull(), F.regexp_extract(F.regexp_replace(d, r"[\[\].]", ""), r"(1[5-8][0-9]{2})", 1).try_cast("int"))},
+        {"year": F.when((F.col("_number") > AFTER) & (F.col("_number") < BEFORE), F.col("_number")).otherwise(F.col("_found"))},
+        {"date_convert": F.coalesce(F.col("year").cast("string"), d)},
+    ]
+    for step in steps:
+        pages = pages.withColumns(step)
+    return pages.drop("_d", "_head", "_tail", "_number", "_found")
 
 
 def unresolved_dates(cleaned: DataFrame) -> DataFrame:

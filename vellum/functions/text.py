@@ -28,9 +28,8 @@ def strip_right(c: Column, char: str) -> Column:
     return F.regexp_replace(c, rf"\Q{char}\E+\z", "")
 
 
-def py_int(c: Column) -> Column:
-    """Like ``int(str)`` with null for ValueError: outer white space, a sign, single underscores. ASCII digits only."""
-    s = py_strip(c)
+def stripped_int(s: Column) -> Column:
+    """Like ``int(str)`` of a stripped string, with null for ValueError: a sign, single underscores. ASCII digits only."""
     return F.when(s.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.replace(s, F.lit("_"), F.lit("")).try_cast("int"))
 
 

@@ -82,6 +82,6 @@ def encode(rows: DataFrame, vocabulary: DataFrame, unknown_id: int | None = None
 
 def decode(rows: DataFrame, vocabulary: DataFrame, key: list[str], separator: str = " ") -> DataFrame:
     """``key, text`` from rows of ``key, pos, id``."""
-    named = rows.join(vocabulary.select("id", "token"), "id")
+    named = rows.select(*key, "pos", "id").join(vocabulary.select("id", "token"), "id")
     parts = F.sort_array(F.collect_list(F.struct("pos", "token")))
     return named.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["token"]), separator).alias("text"))
