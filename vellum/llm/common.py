@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,21 +29,31 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where it is unset and the master is local (tests, a laptop) a temporary folder is made.
     """
-    key = "spark.checkpoint.dir"
-    path = spark.conf.get(key, None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set(key, path)
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="vellum-")
+        path = _own_dirs[context.applicationId]
     return path.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once: long texts make batches of fewer rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 class Workspace:
     """Tables that cut lineage, in a folder of one run below the shared one.
 

@@ -33,12 +33,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bound_batches
 
 SYMBOLS, ORDER, LANGS = 64, 4, 16
 CELLS = SYMBOLS**ORDER
 STEP = 1 / 16  # nats for each unit of the byte that a probability is stored in
-FLUSH = 8_000_000  # characters that a task counts at once
+FLUSH = 4_000_000  # characters that a task counts at once
 
 
 @functools.lru_cache(1)
@@ -131,39 +131,46 @@ def gram_counts(docs: DataFrame, labels: DataFrame, langs: dict[str | None, int]
     """``lang, gram, n``: of all 4-grams of the corpus, how often trusted text has them."""
     ids = trusted_ids(labels)
     rows = docs.where("text IS NOT NULL").select("doc_id", lang_number(langs, F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(ids, rows["doc_id"] == ids["_id"], "left").select("lang", "text", F.coalesce("_trusted", F.lit(0)).alias("trusted"))
+    # labels grow with the corpus: never broadcast, however small they are here
+    rows = rows.join(ids.hint("merge"), rows["doc_id"] == ids["_id"], "left").select("lang", "text", F.coalesce("_trusted", F.lit(0)).alias("trusted"))
     counts = rows.mapInPandas(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return counts.select(F.shiftright("gram", 24).alias("lang"), (F.col("gram").bitwiseAND(CELLS - 1)).alias("gram"), "n")
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """``lang, gram, p``: interpolated modified Kneser-Ney probability of each row's last character after the others."""
-    need, seen = [counts.select("lang", "gram")], [counts.where("n > 0")]
+def probabilities(counts: DataFrame, ws: Workspace) -> DataFrame:
+    """``lang, gram, p``: interpolated modified Kneser-Ney probability of each row's last character after the others.
+
+    The tables of each order are written, so that each join is planned by itself and with true sizes.
+    """
+    need, seen = {ORDER: counts.select("lang", "gram")}, {ORDER: counts.where("n > 0")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(SYMBOLS**k - 1).alias("gram")
-        need.append(need[-1].select("lang", suffix).distinct())
-        seen.append(seen[-1].groupBy("lang", suffix).agg(F.count(F.lit(1)).alias("n")))
-    out = None
-    for order, all_, own in zip(range(1, ORDER + 1), reversed(need), reversed(seen), strict=True):
-        exact = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+        # of each n-gram of the corpus, n is the number of its left extensions in trusted text
+        left = ws.write(counts.groupBy("lang", suffix).agg(F.count_if(F.col("n") > 0).alias("n")), f"counts-{k}")
+        counts, need[k], seen[k] = left, left.select("lang", "gram"), left.where("n > 0")
+    lower = None
+    for k in range(1, ORDER + 1):
+        own = seen[k]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         cut = [F.greatest(F.coalesce(F.try_divide(F.lit(-(i + 1.0)) * y * F.col(f"n{i + 1}"), F.col(f"n{i}")) + i, F.lit(0.5 * i)), F.lit(0.0)).alias(f"d{i}") for i in (1, 2, 3)]
+        exact = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         cuts = own.groupBy("lang").agg(*exact).withColumn("n1", F.greatest("n1", F.lit(1.0))).select("lang", *cut)
-        context = F.shiftright("gram", 6).alias("context")
         kinds = [F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") >= 3).alias("k3")]
-        totals = own.groupBy("lang", context).agg(F.sum("n").alias("total"), *kinds)
-        rows = all_.withColumn("context", F.shiftright("gram", 6)).join(own, ["lang", "gram"], "left").join(totals, ["lang", "context"], "left").join(F.broadcast(cuts), "lang", "left")  # a row for each of LANGS languages at most
-        if out is None:
+        totals = own.groupBy("lang", F.shiftright("gram", 6).alias("context")).agg(F.sum("n").alias("total"), *kinds)
+        totals = totals.join(F.broadcast(cuts), "lang")  # a row for each of LANGS languages at most
+        rest = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
+        totals = totals.select("lang", "context", "total", "d1", "d2", "d3", rest.alias("rest"))
+        rows = need[k].withColumn("context", F.shiftright("gram", 6)).join(own, ["lang", "gram"], "left").join(totals, ["lang", "context"], "left")
+        if lower is None:
             rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
         else:
-            lower = out.select("lang", F.col("gram").alias("_suffix"), F.col("p").alias("lower"))
-            rows = rows.withColumn("_suffix", F.col("gram").bitwiseAND(SYMBOLS ** (order - 1) - 1)).join(lower, ["lang", "_suffix"])
+            rows = rows.withColumn("_suffix", F.col("gram").bitwiseAND(SYMBOLS ** (k - 1) - 1))
+            rows = rows.join(lower.select("lang", F.col("gram").alias("_suffix"), F.col("p").alias("lower")), ["lang", "_suffix"])
         n = F.coalesce("n", F.lit(0))
         d = F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-        rest = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
-        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.greatest(n - d, F.lit(0.0)) + rest * F.col("lower")) / F.col("total"))
-        out = rows.select("lang", "gram", p.alias("p"))
-    return out
+        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.greatest(n - d, F.lit(0.0)) + F.col("rest") * F.col("lower")) / F.col("total"))
+        lower = ws.write(rows.select("lang", "gram", p.alias("p")), f"probabilities-{k}")
+    return lower
 
 
 @dataclass
@@ -228,9 +235,10 @@ def _drawn(model: Model) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, slack: float = 2.5, prior: float = 40.0) -> Model:
     """Trains on all trusted text and sets thresholds on all trusted documents."""
     ws = Workspace(docs.sparkSession, "quality")
+    bound_batches(docs.sparkSession)
     langs = languages(docs)
     counts = ws.write(gram_counts(docs, labels, langs), "counts")
-    p = probabilities(counts).join(F.broadcast(counts.where("n > 0").select("lang").distinct()), "lang", "left_semi")  # LANGS rows at most
+    p = probabilities(counts, ws).join(F.broadcast(counts.where("n > 0").select("lang").distinct()), "lang", "left_semi")  # LANGS rows at most
     bits = F.least(F.round(-F.log("p") / STEP), F.lit(254.0)).cast("int")
     table = p.select((F.shiftleft("lang", 24) + F.col("gram")).cast("int").alias("key"), bits.alias("bits")).toPandas()
     model = Model(langs, table["key"].to_numpy(np.uint32), table["bits"].to_numpy(np.uint8), {}, {}, prior)
@@ -241,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, slack: float = 2.5, prior: float = 4
     model.medians = {r["_lang"]: r["m"] for r in median}
     high = scored.groupBy("_lang").agg(F.percentile_approx(_drawn(model), [0.5, 0.99], 100_000).alias("q")).collect()
     model.limits = {r["_lang"]: r["q"][0] + slack * (r["q"][1] - r["q"][0]) for r in high}
-    ws.drop("counts", "trusted")
+    ws.drop("counts", "trusted", *[f"{name}-{k}" for name in ("counts", "probabilities") for k in range(1, ORDER + 1)])
     return model
 
 
