@@ -3,8 +3,8 @@
 Training is one SQL expression over a small labelled table: gradient descent with a fixed number of steps,
 so it is deterministic. Scoring sums the weights of a URL's n-grams, inside the JVM and without a shuffle.
 
-Cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and gets the verdict of the
-intercept (``allow``, unless the labelled table says that empty URLs are bad); a null ``page_id`` and repeated
+Cases: a null URL, or one without ``://``, has an empty host and path, fits no rule, has no n-gram that
+speaks against it and is allowed with score 0; a null ``page_id`` and repeated
 rows pass through; an empty table gives an empty result; other columns are ignored. A labelled row whose
 url or label is null is left out; a table without usable rows is an error.
 """
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, dims: int = 4096, steps: int = 300, rate: float =
         return _let(miss, lambda m: F.zip_with(w, F.col("xt"), lambda v, c: v * (1 - rate * decay) - slope(c, m) * (rate / n)))
 
     zero = F.array_repeat(F.lit(0.0), dims + 1)
-    both = by_row.withColumn("k", F.lit(1)).join(by_cell.withColumn("k", F.lit(1)), "k")  # one row each
+    both = by_row.unionByName(by_cell, allowMissingColumns=True).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("x", "y", "xt")])  # one row each
     # one row of dims + 1 numbers reaches the driver
     return list(both.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step).alias("w")).first()["w"])
 
@@ -132,6 +132,6 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, rules: Seq
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_r", match_rule(F.col("host"), F.col("path"), rules)).withColumn("_g", gram_indices(F.col("host"), F.col("path"), dims))
     total = F.aggregate("_g", F.lit(0.0), lambda s, j: s + F.element_at(table, j + 1))
-    score = _sigmoid(bias + total / F.sqrt(F.greatest(F.size("_g"), F.lit(1)).cast("double")))
+    score = F.when(F.size("_g") == 0, 0.0).otherwise(_sigmoid(bias + total / F.sqrt(F.greatest(F.size("_g"), F.lit(1)).cast("double"))))
     verdict = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return rows.withColumn("score", score).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), verdict).alias("verdict"), "score")
