@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bound_batches
+
 SYMBOLS, OTHER, PAD, BLOCK, LOCKSTEP = 64, 62, 63, 256, 8192
 POINTS = 0x110000
 
@@ -207,6 +209,7 @@ def train(labelled: DataFrame, chars: int = 20_000, least: int = 200, most: int
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, from the text alone."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bound_batches
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -137,6 +137,7 @@ def write_archives(pages: DataFrame, path: str, ws: Workspace, least: int = 0, s
                     out = []
             yield pd.DataFrame({"record": out})
 
+    bound_batches(pages.sparkSession)
     texts = winners(pages, ws, least).withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     # bytes pass through the string type unchanged, and the sink writes them as they are
     records = texts.mapInPandas(encode, "record binary").select(F.col("record").cast("string").alias("value"))
