@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MATCH = "items long, item_id long, distance int"
 
 
@@ -128,13 +130,14 @@ def _match(df: DataFrame, block: list[tuple[int, str]], rate: float) -> Column:
                 rows.append((len(found), best[1], best[0]))
             yield pd.DataFrame({"items": [r[0] for r in rows], "item_id": pd.array([r[1] for r in rows], "Int64"), "distance": pd.array([r[2] for r in rows], "Int32")})
 
-    return match(F.col("text").cast("string"))
+    return match(F.col("_row.text").cast("string"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_chars: int = 25, block_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with ``_leak``: a struct of the number of items found, and the id and distance of the closest one."""
+    """``_row``, a struct of the columns of ``docs``, with ``_leak``: the number of items found, and the id and distance of the closest one."""
+    bound_batches(docs.sparkSession)
     none = F.struct(F.lit(0).cast("long").alias("items"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("int").alias("distance"))
-    out = docs.withColumn("_leak", none)
+    out = docs.select(F.struct("*").alias("_row"), none.alias("_leak"))
     for block in _blocks(benchmark, block_chars, min_chars):
         out = out.withColumn("_new", _match(out, block, rate))
         closer = F.col("_new.distance").isNotNull() & (F.col("_leak.distance").isNull() | (F.struct("_new.distance", "_new.item_id") < F.struct("_leak.distance", "_leak.item_id")))
@@ -146,9 +149,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_ch
 def leak_report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``doc_id, contaminated, items, item_id, distance`` for each document."""
     found = find_leaks(docs.select("doc_id", "text"), benchmark, **params)
-    return found.select("doc_id", (F.col("_leak.items") > 0).alias("contaminated"), "_leak.items", "_leak.item_id", "_leak.distance")
+    return found.select("_row.doc_id", (F.col("_leak.items") > 0).alias("contaminated"), "_leak.items", "_leak.item_id", "_leak.distance")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The documents without any benchmark item, with their columns."""
-    return find_leaks(docs, benchmark, **params).where("_leak.items = 0").drop("_leak")
+    return find_leaks(docs, benchmark, **params).where("_leak.items = 0").select("_row.*")

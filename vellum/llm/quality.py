@@ -192,7 +192,7 @@ class Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_lang`` (number), ``_chars`` and ``_nats``, the summed -log p, null where no model judges."""
+    """``_row``, a struct of the columns of ``docs``, with ``_lang`` (number), ``_chars`` and ``_nats``, the summed -log p, null where no model judges."""
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.bits))
 
     @F.pandas_udf("chars long, nats double")
@@ -214,8 +214,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         nats[some] = np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) * STEP, np.nan)
             yield pd.DataFrame({"chars": chars, "nats": nats})
 
-    lang = lang_number(model.langs, F.col("lang"))
-    out = docs.withColumn("_lang", lang).withColumn("_s", judge(F.col("text").cast("string"), F.col("_lang")))
+    lang = lang_number(model.langs, F.col("_row.lang"))
+    out = docs.select(F.struct("*").alias("_row")).withColumn("_lang", lang).withColumn("_s", judge(F.col("_row.text").cast("string"), F.col("_lang")))
     nats = F.when(F.isnan("_s.nats"), None).otherwise(F.col("_s.nats"))
     return out.withColumn("_chars", F.col("_s.chars")).withColumn("_nats", nats).drop("_s")
 
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, slack: float = 2.5, prior: float = 4
     table = p.select((F.shiftleft("lang", 24) + F.col("gram")).cast("int").alias("key"), bits.alias("bits")).toPandas()
     model = Model(langs, table["key"].to_numpy(np.uint32), table["bits"].to_numpy(np.uint8), {}, {}, prior)
     ids = trusted_ids(labels)
-    scored = score(docs.select("doc_id", "text", "lang"), model).where("_nats IS NOT NULL").select("doc_id", "_lang", "_chars", "_nats")
+    scored = score(docs.select("doc_id", "text", "lang"), model).where("_nats IS NOT NULL").select("_row.doc_id", "_lang", "_chars", "_nats")
     scored = ws.write(scored.join(ids, scored["doc_id"] == ids["_id"], "left_semi"), "trusted")
     median = scored.groupBy("_lang").agg(F.percentile_approx(F.col("_nats") / F.col("_chars"), 0.5, 100_000).alias("m")).collect()
     model.medians = {r["_lang"]: r["m"] for r in median}
@@ -258,8 +258,8 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     rows = score(docs, model)
     limit = _by_lang(model.limits, F.col("_lang"))
     kept = F.coalesce(_drawn(model) <= limit, F.lit(True))
-    out = rows.withColumns({"perplexity": F.exp(F.col("_nats") / F.col("_chars")), "drawn_perplexity": F.exp(_drawn(model)), "limit": F.exp(limit), "kept": kept})
-    return out.drop("_lang", "_chars", "_nats")
+    added = {"perplexity": F.exp(F.col("_nats") / F.col("_chars")), "drawn_perplexity": F.exp(_drawn(model)), "limit": F.exp(limit), "kept": kept}
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -271,4 +271,4 @@ def quality_report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that are kept, with their columns."""
     model = fit(docs.select("doc_id", "text", "lang"), labels, **params)
-    return score(docs, model).where(F.coalesce(_drawn(model) <= _by_lang(model.limits, F.col("_lang")), F.lit(True))).select(*docs.columns)
+    return score(docs, model).where(F.coalesce(_drawn(model) <= _by_lang(model.limits, F.col("_lang")), F.lit(True))).select("_row.*")

@@ -73,7 +73,7 @@ def ring_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, ring_bits: i
     text = text_of(docs)
     keys = docs.select(
         docs["doc_id"],
-        *[docs[c] for c in others],
+        F.struct(*[docs[c] for c in others]).alias("_row") if others else F.lit(None).alias("_row"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(F.concat_ws("/", F.coalesce(docs["doc_id"].cast("string"), F.lit("none")), F.xxhash64(text).cast("string")).cast("binary")).alias("_hash"),
@@ -92,7 +92,7 @@ def ring_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, ring_bits: i
     on = (F.col("r._cell") == F.col("s._cell")) & (F.col("r._rank") >= F.col("s.first")) & (F.col("r._rank") < F.col("s.first") + F.col("s.ranks"))
     return r.join(s, on).select(
         "r.doc_id",
-        *[F.col(f"r.`{c}`") for c in others],
+        *[F.col(f"r._row.`{c}`") for c in others],
         "r.size",
         "r.text_crc32",
         F.lit("rows").alias("law"),
