@@ -15,7 +15,7 @@ be streamed against each of them (that is quadratic). Both are routed instead, w
    over its distinct contexts, with the number of occurrences of each state; the contexts are streamed through it
    for matching statistics over states that occur twice, and matches of ``window`` words give maximal spans.
 4. *Hot anchors*, more than ``hot`` occurrences, would make an automaton without bound. Their windows are
-   counted one by one instead, by 128-bit digests, with partial aggregation in each task.
+   counted instead, by 64-bit digests that are sent to ranges of the digest, packed by batch.
 5. Spans go back to their documents, and the words outside them are kept.
 
 ``remove_reference_spans`` is the plain form for a bounded reference table: automata of its shards are
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bound_batches
 
 ID_BYTES = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -216,12 +216,7 @@ def find_repeats(docs: DataFrame, ws: Workspace, window: int = 35, gram: int = 8
                 ids, wanted, seen = word_ids(split_words(text)), {x["anchor"]: x["hot"] for x in own}, {}
                 for anchor, first, last in contexts(ids, window, gram):
                     if anchor in wanted:
-                        if wanted[anchor]:
-                            for s in range(first, last + 1):
-                                key = xxhash.xxh3_128_digest(ids[s : s + window].tobytes())
-                                seen.setdefault((anchor, key, True), []).append(s)
-                        else:
-                            seen.setdefault((anchor, pack(ids[first : last + window]), False), []).append(first)
+                        seen.setdefault((anchor, pack(ids[first : last + window]), wanted[anchor]), []).append(first)
                 out += [(anchor, key, is_hot, k1, k2, starts, len(starts)) for (anchor, key, is_hot), starts in seen.items()]
                 if len(out) >= 5000:
                     yield pd.DataFrame(out, columns=names)
@@ -261,12 +256,74 @@ def find_repeats(docs: DataFrame, ws: Workspace, window: int = 35, gram: int = 8
             yield flush()
 
     cold = cuts.where("NOT hot").select("anchor", "context", "k1", "k2", "starts", "n").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(match, SPAN)
-    single = cuts.where("hot").select("context", "k1", "k2", "starts", "n")
-    again = ws.write(single.groupBy("context").agg(F.sum("n").alias("all")).where("all > 1").select("context"), "windows")
-    warm = single.join(again, "context").select("k1", "k2", F.explode("starts").alias("a")).select("k1", "k2", "a", (F.col("a") + window).cast("int").alias("b"))
+    warm = _hot_spans(cuts.where("hot").select("anchor", "context", "k1", "k2", "starts", "n"), ws, window)
     return cold.unionByName(warm)
 
 
+def _digests_of(context: bytes, window: int) -> list[int]:
+    """Digests of the windows of a packed context."""
+    return [xxhash.xxh3_64_intdigest(context[i : i + window * ID_BYTES]) for i in range(0, len(context) - window * ID_BYTES + 1, ID_BYTES)]
+
+
+def _hot_spans(cuts: DataFrame, ws: Workspace, window: int) -> DataFrame:
+    """Spans of the contexts of hot anchors, whose windows are counted by digest, packed in arrays.
+
+    A batch sends its digests to ``ranges`` of the digest, in one row for each; a range counts what all batches have
+    sent it. So an anchor that a third of all documents share is spread evenly, and rows stay few.
+    """
+    total = cuts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0] // ID_BYTES
+    ranges = 1 + total // 2_000_000
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [(d, a) for a, c, n in zip(batch["anchor"], batch["context"], batch["n"], strict=True) for d in _digests_of(c, window) for _ in range(min(n, 2))]
+            digests, anchors = np.array([d for d, _ in pairs], np.uint64), np.array([a for _, a in pairs], np.int64)
+            to = digests % np.uint64(ranges)
+            own = [to == r for r in range(ranges)]
+            yield pd.DataFrame({"range": range(ranges), "digests": [digests[x].tobytes() for x in own], "anchors": [anchors[x].tobytes() for x in own]})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, parts = None, []
+
+        def flush() -> pd.DataFrame:
+            both = np.array([np.frombuffer(b"".join(x[i] for x in parts), np.int64) for i in (0, 1)])
+            pairs, n = np.unique(both, axis=1, return_counts=True)
+            anchors, digests = pairs[:, n > 1]
+            cut = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else []
+            return pd.DataFrame({"anchor": anchors[cut] if len(anchors) else anchors, "repeated": [x.tobytes() for x in np.split(digests, cut[1:])] if len(anchors) else []})
+
+        for batch in batches:
+            for r, digests, anchors in zip(batch["range"], batch["digests"], batch["anchors"], strict=True):
+                if r != key and parts:
+                    yield flush()
+                    parts = []
+                key = r
+                parts.append((anchors, digests))
+        if parts:
+            yield flush()
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, key, known = [], None, set()
+            for anchor, context, k1, k2, starts, repeated in zip(batch["anchor"], batch["context"], batch["k1"], batch["k2"], batch["starts"], batch["repeated"], strict=True):
+                if anchor != key:
+                    key, known = anchor, set(np.frombuffer(b"".join(repeated), np.uint64).tolist())
+                own: list[list[int]] = []
+                for i, d in enumerate(_digests_of(context, window)):
+                    if d in known:
+                        if own and i <= own[-1][1]:
+                            own[-1][1] = i + window
+                        else:
+                            own.append([i, i + window])
+                out += [(k1, k2, s + a, s + b) for s in starts.tolist() for a, b in own]
+            yield pd.DataFrame(out, columns=["k1", "k2", "a", "b"])
+
+    sent = cuts.select("anchor", "context", "n").mapInPandas(send, "range int, digests binary, anchors binary")
+    found = sent.repartition("range").sortWithinPartitions("range").mapInPandas(count, "anchor long, repeated binary")
+    found = ws.write(found.groupBy("anchor").agg(F.collect_list("repeated").alias("repeated")), "windows")
+    return cuts.join(found.hint("merge"), "anchor").mapInPandas(mark, SPAN)
+
+
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -282,6 +339,7 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, **params) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each document, and ``kept_text`` if asked for."""
+    bound_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "substring")
     own = find_repeats(docs, ws, **params).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     own = ws.write(own, "spans")
