@@ -1,0 +1,94 @@
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from cases import awkward_rows, sentence
+
+from vellum.llm import substring_dedup as S
+
+
+def brute_force(rows, window):
+    words = [(r[1] or "").encode().split() for r in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for r, w in zip(rows, words, strict=True):
+        keep = [True] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                keep[i : i + window] = [False] * window
+        kept = b" ".join(x for x, k in zip(w, keep, strict=True) if k)
+        out.append((r[0], len(w), len(w) - sum(keep), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def got(df, **params):
+    return sorted(map(tuple, S.remove_repeats(df, **params).collect()), key=str)
+
+
+@pytest.mark.parametrize("params", [{}, {"hot": 1}, {"hot": 3, "shard_words": 100}, {"gram": 3, "shard_words": 1}])
+def test_against_brute_force(spark, params):
+    rng = random.Random(11)
+    passages = [sentence(rng, rng.randint(20, 60), "abc") for _ in range(6)]
+    rows = []
+    for i in range(120):
+        parts = [sentence(rng, rng.randint(0, 40), "abcde")] + [p for _ in range(rng.randrange(3)) for p in (rng.choice(passages), sentence(rng, rng.randint(0, 3), "abcde"))]
+        rows.append((i, " ".join(parts)))
+    rows += [(200, "a " * 90), (201, "a b " * 60), (202, "a a b " * 40), (203, " ".join(["c"] * 34)), (204, rows[3][1])]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), **params) == brute_force(rows, 35)
+
+
+@pytest.mark.parametrize("window", [10, 50])
+def test_other_windows(spark, window):
+    rng = random.Random(12)
+    passage = sentence(rng, 70).split()
+    rows = [(i, " ".join(sentence(rng, 20).split() + passage[rng.randrange(30) : 40 + rng.randrange(30)])) for i in range(60)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), window=window) == brute_force(rows, window)
+
+
+def test_awkward(awkward, clashing, nothing):
+    want = brute_force(awkward_rows(), 35)
+    assert got(awkward) == want and got(clashing) == want and got(nothing) == []
+
+
+def test_text(spark):
+    rng = random.Random(13)
+    shared = sentence(rng, 40)
+    df = spark.createDataFrame([(1, f"one {shared} two"), (2, shared)], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept_text"] for r in S.remove_repeats(df, with_text=True).collect()} == {1: "one two", 2: ""}
+
+
+def test_reference(spark):
+    rng = random.Random(14)
+    texts = [sentence(rng, 60) for _ in range(5)]
+    a = texts[0].split()
+    docs = spark.createDataFrame([(1, "x " + " ".join(a[5:45]) + " y"), (2, " ".join(a[5:39])), (3, texts[4]), (4, None)], "doc_id long, text string")
+    reference = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    for shard_words in (50, 200_000):
+        found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in S.remove_reference_spans(docs, reference, shard_words=shard_words).collect()}
+        assert found == {1: (42, 40, "x y"), 2: (34, 0, " ".join(a[5:39])), 3: (60, 60, ""), 4: (0, 0, "")}
+    with pytest.raises(ValueError):
+        S.remove_reference_spans(docs, reference, most_words=100)
+
+
+def test_contexts_cover_each_window_once():
+    rng = random.Random(15)
+    for text in (sentence(rng, 300, "ab"), "a " * 100, sentence(rng, 35), "", sentence(rng, 34)):
+        ids = S.word_ids(S.split_words(text))
+        starts = [s for _, first, last in S.contexts(ids, 35, 8) for s in range(first, last + 1)]
+        assert starts == list(range(max(0, len(ids) - 34)))
+
+
+def test_automaton_counts():
+    rng = random.Random(16)
+    sequences = [([rng.randrange(3) for _ in range(rng.randint(1, 30))], rng.randint(1, 2)) for _ in range(6)]
+    automaton = S.WordAutomaton(sequences)
+    count = Counter()
+    for words, weight in sequences:
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                count[tuple(words[i:j])] += weight
+    for words, _ in sequences:
+        for end, n in automaton.matches(words, 2):
+            assert n == max((k for k in range(1, end + 1) if count[tuple(words[end - k : end])] >= 2), default=0)
+    assert S.unpack(S.pack(S.word_ids([b"a", b"b"]))) == [x & (1 << 40) - 1 for x in S.word_ids([b"a", b"b"]).tolist()]

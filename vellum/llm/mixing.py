@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_in_groups, word_count
+from .common import Workspace, rank_in_groups, word_count
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3) -> list[float]:
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, bl
     spark = docs.sparkSession
     text = docs["text"].cast("string")
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text"), docs["source"].cast("string").alias("source"), word_count(text).alias("size"))
+    rows = Workspace(spark, "mixing").write(rows, "sizes")  # words are counted once
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in found]
@@ -93,7 +94,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, bl
     first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
     pieces = packed.where("size > 0").select("src", "_bucket", "_n", "start", "size", F.explode(F.sequence(first, last)).alias("index"))
     pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * b) - F.greatest(F.col("start"), F.col("index") * b))
-    taken = pieces.join(times, ["src", "index"]).groupBy("src", "_bucket", "_n").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the size of generated draws can't be estimated, so a broadcast is ruled out
+    taken = pieces.join(times.hint("merge"), ["src", "index"]).groupBy("src", "_bucket", "_n").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = packed.join(taken, ["src", "_bucket", "_n"], "left")
     return out.select("doc_id", "_text", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), drawn
 
@@ -134,6 +136,6 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     taken = mix(docs, **params)[0]
     times = taken.select("doc_id", "_text", copies(F.col("taken"), F.col("size"), F.col("_text"), most).alias("_copies"))
     times = times.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.col("_text").alias("_k2")).agg(F.sum("_copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_k2"))
     one = rows.join(times, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
