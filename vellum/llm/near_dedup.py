@@ -12,8 +12,8 @@ Texts are lower-cased (A-Z) and shingled; documents whose sets of shingles have
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is pruned once the chance that it reaches
    the threshold is below ``MISS``. Survivors are verified on their full sets.
 4. *Rest.* In buckets that still hold several components, members of different components are compared, block
-   by block within a task, first for the most similar pairs of two components and then, for components that still
-   are apart, for all: so nothing that the signatures don't rule out is left unverified, and no
+   by block within a task, first for the most similar pair of each component, twice, and then, for components that
+   still are apart, for all: so nothing that the signatures don't rule out is left unverified, and no
    pairs within a component are made.
 
 A class that differs from all in every band is missed with chance ``(1 - s ** ROWS) ** BANDS``, 1e-5 at 0.85; each
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bound_batches
 from .components import components
 
 BANDS, ROWS, BATCH, MISS, SET_BYTES = 24, 6, 24, 1e-5, 6
@@ -175,8 +175,8 @@ def _verify(percent: int):
 BLOCK = 256  # members of a bucket that are compared with as many others at once
 
 
-def _across(percent: int, top: int | None):
-    """Pairs of different components within blocks of a bucket, sorted by bucket and block; ``top``: the most similar of each two components only."""
+def _across(percent: int, best: bool):
+    """Pairs of different components within blocks of a bucket, sorted by bucket and block; ``best``: of each component the most similar pair only."""
 
     def pairs(rows: list[tuple]) -> pd.DataFrame:
         # (side, node, comp, sig): side 0 is the block's own, side 1 the other block's; one side only on the diagonal
@@ -196,8 +196,10 @@ def _across(percent: int, top: int | None):
         left, equal = np.concatenate(left or [np.zeros(0, int)]), np.concatenate(equal or [np.zeros(0, int)])
         i, j = i[left], j[left]
         out = pd.DataFrame({"x": np.minimum(ca[i], cb[j]), "y": np.maximum(ca[i], cb[j]), "equal": equal, "i": i, "j": j})
-        if top is not None:
-            out = out.sort_values("equal", ascending=False, kind="stable").groupby(["x", "y"]).head(top)
+        if best:
+            out = out.sort_values("equal", ascending=False, kind="stable", ignore_index=True)
+            ends = pd.concat([out["x"], out["y"]]).sort_index(kind="stable")
+            out = out.loc[np.unique(ends.index[~ends.duplicated()])]
         ends = [sorted((one[p][1], two[q][1])) for p, q in zip(out["i"], out["j"], strict=True)]
         return pd.DataFrame(ends, columns=["a", "b"]) if ends else pd.DataFrame({"a": [], "b": []}, dtype=object)
 
@@ -225,6 +227,7 @@ def _across(percent: int, top: int | None):
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``k1, k2, doc_id, n_shingles, component_id, kept`` for each document, with the keys of ``_rows``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     ws = Workspace(spark, "near")
     signed = ws.write(sign(docs, words), "signed")
     full = signed.where("node IS NOT NULL")
@@ -253,7 +256,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tested = verified(closest, "tested-0")
     labels = ws.write(components(tested.where("linked").select("a", "b"), ws, "cc-0"), "labels-0")
 
-    for turn, top in enumerate((2, None), 1):
+    for turn, best in enumerate((True, True, False), 1):
         named = members.join(labels, "node", "left").select("bucket", "node", "members", F.coalesce("label", "node").alias("label"))
         open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max("members").alias("members")).where("l <> m")
         open_ = ws.write(open_.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), f"open-{turn}")
@@ -263,7 +266,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         blocks = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         blocks = blocks.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "sig")
-        found = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInPandas(_across(percent, top), "a binary, b binary").distinct()
+        found = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInPandas(_across(percent, best), "a binary, b binary").distinct()
         known = spark.read.schema("a binary, b binary, linked boolean").parquet(*[ws.path(f"tested-{i}") for i in range(turn)])
         known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = verified(found.join(known, ["a", "b"], "left_anti"), f"tested-{turn}").where("linked")
@@ -282,7 +285,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = ids.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = ws.write(ids.join(named, "label").select("node", "component_id"), "ids")
     out = ws.write(signed.select("k1", "k2", "doc_id", "n_shingles", "node").join(ids, "node", "left").select("k1", "k2", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "out")
-    ws.drop("signed", "classes", "buckets", "members", "involved", "sets", "ids", *[f"{x}-{i}" for x in ("tested", "labels", "open", "merged") for i in range(3)])
+    ws.drop("signed", "classes", "buckets", "members", "involved", "sets", "ids", *[f"{x}-{i}" for x in ("tested", "labels", "open", "merged") for i in range(4)])
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -311,5 +314,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = near_components(docs.select("doc_id", "text"), words, percent)
     kept = found.where("kept").select("k1", "k2").distinct()
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_k2")]
-    rows = docs.select("*", *key)
-    return rows.join(kept, (rows["_k1"] == kept["k1"]) & (rows["_k2"] == kept["k2"]), "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), *key)
+    kept = kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    return rows.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
