@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from cases import awkward_rows, sentence
 from pyspark.sql import functions as F
@@ -116,6 +117,20 @@ def test_separates(spark, sf_dir):
     assert got.where("quality = 0 AND NOT kept").count() >= 0.75 * got.where("quality = 0").count()
 
 
+def test_toxic(spark, sf_dir):
+    """English text with insults that otherwise reads well is found, and clean text stays."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.1/{t}.parquet").where("doc_id % 2 = 0") for t in ("documents", "labels"))
+    got = quality.quality_report(docs.where("lang = 'en'"), labels).join(labels, "doc_id").where("quality = 1")
+    n = {r["toxic"]: (r["n"], r["kept"]) for r in got.groupBy("toxic").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert n[1][0] > 90 and n[1][1] <= 0.1 * n[1][0] and n[0][1] >= 0.99 * n[0][0]
+
+
+def test_surprises():
+    g, sizes = quality.grams(["ab  c", "", " d"])
+    words, levels = quality.surprises(g, np.array([32, 32, 32, 99, 16, 7, 48], np.uint8), sizes)
+    assert words.tolist() == [2, 0, 1] and [[(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in t] for t in levels] == [[(8, 1), (16, 1)], [], [(24, 1)]]
+
+
 @pytest.mark.parametrize("code", [0, 31, 127, 0xE9, 0x4E00, 0x1F600, 0x10FFFF])
 def test_symbols(code):
     assert 0 < quality.symbol_table()[code] < quality.SYMBOLS

@@ -11,9 +11,13 @@ words, since they judge words never seen, and since a model of all trusted text
    interpolated probability of each n-gram that occurs, seen in training or not.
 3. *Scoring.* The table of probabilities (bounded as above, for ``LANGS`` languages at most, a byte each) goes to the
    executors, and each document gets its mean negative log probability a character.
-4. *Thresholds* are quantiles of trusted documents, by language: ``q50 + slack * (q99 - q50)``. Scores are
-   drawn towards the language's median as if ``prior`` more characters had it, so that a short
-   document isn't rejected for a few rare letters.
+4. *Words.* A word's surprise is its mean negative log probability a character, with the white space after it. The
+   ``rare`` most surprising part of a language's trusted words sets the bound from which a word is odd. A mean over
+   thousands of characters hides a few words that trusted text never has, such as insults; their share doesn't.
+5. *Thresholds* are quantiles of trusted documents, by language, one for the perplexity and one for the share of odd
+   words. Each is at ``1 - reject / 2``, so ``reject`` of trusted documents are over one of them at most. Perplexities are
+   drawn towards the language's median as if ``prior`` more characters had it, and shares towards 0 by ``WORDS``
+   words, so that a short document isn't rejected for a few rare letters.
 
 Cases: null and empty texts have no perplexity and are kept, as is everything without trusted text in its
 language; a null language is a language of its own; so are, together, all but the ``LANGS - 2`` most frequent ones;
@@ -39,6 +43,8 @@ SYMBOLS, ORDER, LANGS = 64, 4, 16
 CELLS = SYMBOLS**ORDER
 STEP = 1 / 16  # nats for each unit of the byte that a probability is stored in
 FLUSH = 4_000_000  # characters that a task counts at once
+WORDS = 100  # words without surprise that each document is given
+LEVELS = 8  # of a word's surprise, for each nat
 
 
 @functools.lru_cache(1)
@@ -83,6 +89,23 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], sizes
 
 
+def surprises(grams: np.ndarray, bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each text's number of words, and its words by level of surprise: ``level << 32 | words``."""
+    last = grams & np.uint32(SYMBOLS - 1)
+    blank, ends = (last == 1) | (last == 2), np.cumsum(sizes)
+    first = np.concatenate([[True], blank[:-1]]) if len(last) else np.zeros(0, bool)
+    first[(ends - sizes)[sizes > 0]] = True  # white space ends a word, as does the end of a text
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(at, len(last)))
+    level = np.add.reduceat(bits, at, dtype=np.int64) * (STEP * LEVELS) // length if len(at) else np.zeros(0)
+    letters = np.add.reduceat(~blank, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+    own = letters > 0  # further white space is no word
+    pair, n = np.unique(owner[own] << 32 | level[own].astype(np.int64), return_counts=True)
+    cuts = np.searchsorted(pair >> 32, np.arange(1, len(sizes)))
+    return np.bincount(owner[own], minlength=len(sizes)), np.split((pair & 0xFFFFFFFF) << 32 | n, cuts)
+
+
 def languages(docs: DataFrame) -> dict[str | None, int]:
     """Number of each language, 0 for null; the rest share the last number."""
     found = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS - 2).collect()
@@ -175,13 +198,16 @@ def probabilities(counts: DataFrame, ws: Workspace) -> DataFrame:
 
 @dataclass
 class Model:
-    """``keys``: ``lang << 24 | gram``, with ``bits``: -log p in units of ``STEP``. ``medians`` and ``limits`` by language number."""
+    """``keys``: ``lang << 24 | gram``, with ``bits``: -log p in units of ``STEP``. By language number: ``medians`` and ``limits``
+    of the perplexity (as nats), the highest ``levels`` of words that aren't odd, and ``shares``, the limits of odd words."""
 
     langs: dict[str | None, int]
     keys: np.ndarray
     bits: np.ndarray
     medians: dict[int, float]
     limits: dict[int, float]
+    levels: dict[int, int]
+    shares: dict[int, float]
     prior: float
 
     def table(self) -> np.ndarray:
@@ -192,16 +218,17 @@ class Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``_row``, a struct of the columns of ``docs``, with ``_lang`` (number), ``_chars`` and ``_nats``, the summed -log p, null where no model judges."""
+    """``_row``, a struct of the columns of ``docs``, with ``_lang`` (number), ``_chars``, ``_nats``, the summed -log p, null where no model judges, ``_words`` and ``_levels``, see ``surprises``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.bits))
 
-    @F.pandas_udf("chars long, nats double")
+    @F.pandas_udf("chars long, nats double, words long, levels array<long>")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         keys, bits = shared.value
-        table = Model({}, keys, bits, {}, {}, 0).table()
+        table = Model({}, keys, bits, {}, {}, {}, {}, 0).table()
         known = set(np.unique(keys >> 24).tolist())
         for texts, langs in batches:
             chars, nats = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
+            words, levels = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)] * len(texts)
             langs = langs.to_numpy()
             for lang in np.unique(langs):
                 own = np.flatnonzero(langs == lang)
@@ -209,15 +236,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     g, sizes = grams([texts.iloc[i] or "" for i in some])
                     chars[some] = sizes
                     if lang in known and len(g):
-                        sums = np.concatenate([[0], np.cumsum(table[lang][g], dtype=np.int64)])
+                        cost = table[lang][g]
+                        sums = np.concatenate([[0], np.cumsum(cost, dtype=np.int64)])
                         ends = np.cumsum(sizes)
                         nats[some] = np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) * STEP, np.nan)
-            yield pd.DataFrame({"chars": chars, "nats": nats})
+                        words[some], found = surprises(g, cost, sizes)
+                        for i, x in zip(some, found, strict=True):
+                            levels[i] = x
+            yield pd.DataFrame({"chars": chars, "nats": nats, "words": words, "levels": levels})
 
     lang = lang_number(model.langs, F.col("_row.lang"))
     out = docs.select(F.struct("*").alias("_row")).withColumn("_lang", lang).withColumn("_s", judge(F.col("_row.text").cast("string"), F.col("_lang")))
     nats = F.when(F.isnan("_s.nats"), None).otherwise(F.col("_s.nats"))
-    return out.withColumn("_chars", F.col("_s.chars")).withColumn("_nats", nats).drop("_s")
+    return out.withColumns({"_chars": F.col("_s.chars"), "_nats": nats, "_words": F.col("_s.words"), "_levels": F.col("_s.levels")}).drop("_s")
 
 
 def _by_lang(values: dict[int, float], lang: Column) -> Column:
@@ -232,7 +263,19 @@ def _drawn(model: Model) -> Column:
     return (F.col("_nats") + model.prior * _by_lang(model.medians, F.col("_lang"))) / (F.col("_chars") + model.prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, slack: float = 2.5, prior: float = 40.0) -> Model:
+def _odd(model: Model) -> Column:
+    """Share of odd words, drawn towards 0."""
+    over = F.filter("_levels", lambda x: F.shiftright(x, 32) > _by_lang(model.levels, F.col("_lang")))
+    return F.aggregate(over, F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(0xFFFFFFFF)) / (F.col("_words") + WORDS)
+
+
+def _kept(model: Model) -> Column:
+    """Within both limits, or without a model."""
+    usual = (_drawn(model) <= _by_lang(model.limits, F.col("_lang"))) & (_odd(model) <= _by_lang(model.shares, F.col("_lang")))
+    return F.coalesce(usual, F.lit(True))
+
+
+def fit(docs: DataFrame, labels: DataFrame, reject: float = 0.01, prior: float = 40.0, rare: float = 0.001) -> Model:
     """Trains on all trusted text and sets thresholds on all trusted documents."""
     ws = Workspace(docs.sparkSession, "quality")
     bound_batches(docs.sparkSession)
@@ -241,14 +284,24 @@ def fit(docs: DataFrame, labels: DataFrame, slack: float = 2.5, prior: float = 4
     p = probabilities(counts, ws).join(F.broadcast(counts.where("n > 0").select("lang").distinct()), "lang", "left_semi")  # LANGS rows at most
     bits = F.least(F.round(-F.log("p") / STEP), F.lit(254.0)).cast("int")
     table = p.select((F.shiftleft("lang", 24) + F.col("gram")).cast("int").alias("key"), bits.alias("bits")).toPandas()
-    model = Model(langs, table["key"].to_numpy(np.uint32), table["bits"].to_numpy(np.uint8), {}, {}, prior)
+    model = Model(langs, table["key"].to_numpy(np.uint32), table["bits"].to_numpy(np.uint8), {}, {}, {}, {}, prior)
     ids = trusted_ids(labels)
-    scored = score(docs.select("doc_id", "text", "lang"), model).where("_nats IS NOT NULL").select("_row.doc_id", "_lang", "_chars", "_nats")
+    scored = score(docs.select("doc_id", "text", "lang"), model).where("_nats IS NOT NULL").select("_row.doc_id", "_lang", "_chars", "_nats", "_words", "_levels")
     scored = ws.write(scored.join(ids, scored["doc_id"] == ids["_id"], "left_semi"), "trusted")
     median = scored.groupBy("_lang").agg(F.percentile_approx(F.col("_nats") / F.col("_chars"), 0.5, 100_000).alias("m")).collect()
     model.medians = {r["_lang"]: r["m"] for r in median}
-    high = scored.groupBy("_lang").agg(F.percentile_approx(_drawn(model), [0.5, 0.99], 100_000).alias("q")).collect()
-    model.limits = {r["_lang"]: r["q"][0] + slack * (r["q"][1] - r["q"][0]) for r in high}
+    level, n = F.shiftright("_level", 32).cast("int"), F.col("_level").bitwiseAND(0xFFFFFFFF)
+    found = scored.select("_lang", F.explode("_levels").alias("_level")).groupBy("_lang", level.alias("level")).agg(F.sum(n).alias("n")).collect()
+    for lang in {r["_lang"] for r in found}:  # some 130 levels a language
+        own = sorted((r["level"], r["n"]) for r in found if r["_lang"] == lang)
+        total, at = sum(n for _, n in own), 0
+        for x, n in own:
+            at += n
+            if at >= (1 - rare) * total:
+                model.levels[lang] = x
+                break
+    high = scored.groupBy("_lang").agg(*[F.percentile_approx(c, 1 - reject / 2, 100_000).alias(q) for c, q in ((_drawn(model), "q"), (_odd(model), "o"))]).collect()
+    model.limits, model.shares = {r["_lang"]: r["q"] for r in high}, {r["_lang"]: r["o"] for r in high}
     ws.drop("counts", "trusted", *[f"{name}-{k}" for name in ("counts", "probabilities") for k in range(1, ORDER + 1)])
     return model
 
@@ -257,8 +310,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``perplexity`` of a character, ``limit`` (as a perplexity) and ``kept``."""
     rows = score(docs, model)
     limit = _by_lang(model.limits, F.col("_lang"))
-    kept = F.coalesce(_drawn(model) <= limit, F.lit(True))
-    added = {"perplexity": F.exp(F.col("_nats") / F.col("_chars")), "drawn_perplexity": F.exp(_drawn(model)), "limit": F.exp(limit), "kept": kept}
+    added = {"perplexity": F.exp(F.col("_nats") / F.col("_chars")), "drawn_perplexity": F.exp(_drawn(model)), "limit": F.exp(limit), "kept": _kept(model)}
     return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
@@ -271,4 +323,4 @@ def quality_report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that are kept, with their columns."""
     model = fit(docs.select("doc_id", "text", "lang"), labels, **params)
-    return score(docs, model).where(F.coalesce(_drawn(model) <= _by_lang(model.limits, F.col("_lang")), F.lit(True))).select("_row.*")
+    return score(docs, model).where(_kept(model)).select("_row.*")
