@@ -89,3 +89,16 @@ def test_awkward(awkward, clashing, nothing):
 def test_odd_characters(text):
     model = langid.Model({"x": [text + " abc"], "y": ["zzz"]}, 100)
     assert model.predict([text], langid.symbol_table(model.symbols))[0] == ["x"]
+
+
+def test_letters_apart():
+    """Languages of scripts with more letters than symbols are told apart, however many scripts there are."""
+    rng = random.Random(6)
+    starts = {"a": 0x4E00, "b": 0x5E00, "c": 0x6E00, "d": 0x0430, "e": 0x0905, "f": 0xAC00}
+    write = lambda lang, n: "".join(chr(starts[lang] + rng.randrange(20 if lang == "d" else 40 if lang == "e" else 90)) for _ in range(n))
+    model = langid.Model({lang: [write(lang, 800)] for lang in starts}, 20_000)
+    texts = [write(lang, n) for lang in starts for n in (5, 20, 100)]
+    table = langid.symbol_table(model.symbols)
+    assert model.predict(texts, table)[0] == [lang for lang in starts for _ in range(3)]
+    codes = {langid.encode([c], table)[0].tobytes() for c in set("".join(texts))}
+    assert len(codes) == len(set("".join(texts)))

@@ -11,8 +11,9 @@ phrases ended)``, so that numpy parses thousands of blocks of text in lockstep,
 texts are parsed, in blocks of ``BLOCK`` symbols; a phrase ends with its block.
 
 Symbols are lower-cased letters; each run of anything else is one separator, so digits and punctuation carry no
-weight. Cases: null texts and texts without a letter are ``und`` with score 0; so is everything if
-nothing is labelled; letters that no language has are a phrase each; ties go to the first language by name;
+weight. The ``SINGLE`` most frequent letters of all samples are a symbol each; any other letter is ``OTHER`` and ``DIGITS``
+symbols for its code point, so no letter is merged with another, whatever the script. Cases: null texts and texts without a letter are ``und`` with score 0; so is everything if
+nothing is labelled; ties go to the first language by name;
 null or repeated ids and other columns do no harm (a null id is never in training).
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql.window import Window
 from .common import bound_batches
 
 SYMBOLS, OTHER, PAD, BLOCK, LOCKSTEP = 64, 62, 63, 256, 8192
+SINGLE, DIGITS = 45, 6  # the symbols between SINGLE and OTHER are the 16 digits of a code point
 POINTS = 0x110000
 
 
@@ -75,9 +77,18 @@ class SuffixAutomaton:
 
 
 def alphabet(texts: list[str]) -> dict[int, int]:
-    """Symbols 1 to 61 for the most frequent lower-cased letters."""
+    """Symbols 1 to ``SINGLE`` for the most frequent lower-cased letters."""
     count = Counter(c for t in texts for c in t.lower() if unicodedata.category(c)[0] in "LM")
-    return {ord(c): i + 1 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: OTHER - 1])}
+    return {ord(c): i + 1 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:SINGLE])}
+
+
+@functools.lru_cache(1)
+def lower_case() -> np.ndarray:
+    """For each code point, that of its lower-case letter."""
+    out = np.arange(POINTS, dtype=np.uint32)
+    for i in np.flatnonzero(letters()[1]):
+        out[i] = ord(chr(i).lower()[0])
+    return out
 
 
 def symbol_table(symbols: dict[int, int]) -> np.ndarray:
@@ -90,8 +101,7 @@ def _symbol_table(pairs: tuple[tuple[int, int], ...]) -> np.ndarray:
     symbols, known = dict(pairs), letters()[1]
     table = np.where(known, OTHER, 0).astype(np.uint8)
     for i in np.flatnonzero(known):
-        low = chr(i).lower()
-        table[i] = symbols.get(ord(low[0]), OTHER)
+        table[i] = symbols.get(int(lower_case()[i]), OTHER)
     return table
 
 
@@ -106,7 +116,16 @@ def encode(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     has_letter[owner[letters()[0][points]]] = True
     keep = np.ones(len(symbols), bool)  # of a run of separators, the first of a text stays
     keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0) | (owner[1:] != owner[:-1])
-    return symbols[keep], np.bincount(owner[keep], minlength=len(texts)), has_letter
+    symbols, points, owner = symbols[keep], points[keep], owner[keep]
+    rare = symbols == OTHER
+    if rare.any():
+        times = np.where(rare, DIGITS + 1, 1)
+        at = (np.cumsum(times) - times)[rare]
+        symbols, owner = np.repeat(symbols, times), np.repeat(owner, times)
+        code = lower_case()[points[rare]]
+        for k in range(DIGITS):
+            symbols[at + 1 + k] = SINGLE + 1 + (code >> np.uint32(4 * (DIGITS - 1 - k)) & np.uint32(15))
+    return symbols, np.bincount(owner, minlength=len(texts)), has_letter
 
 
 class Model:
