@@ -102,3 +102,14 @@ def test_letters_apart():
     assert model.predict(texts, table)[0] == [lang for lang in starts for _ in range(3)]
     codes = {langid.encode([c], table)[0].tobytes() for c in set("".join(texts))}
     assert len(codes) == len(set("".join(texts)))
+
+
+def test_lengths(spark):
+    """Languages that only have short or only long documents are learnt too."""
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, 8, "abcd"), "short") for i in range(300)] + [(300 + i, sentence(rng, 4000, "efgh"), "long") for i in range(3)]
+    rows += [(400 + i, sentence(rng, 100, "ijkl"), "usual") for i in range(30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["long", "short", "usual"] and min(model.bits) > 12
+    texts = [sentence(rng, 10, stem) for stem in ("efgh", "abcd", "ijkl")]
+    assert model.predict(texts, langid.symbol_table(model.symbols))[0] == model.langs

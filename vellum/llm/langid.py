@@ -6,7 +6,8 @@ language needs ``c`` phrases for ``n`` symbols; ``c * log2(N) / n``, with ``N``
 the cross entropy in bits a symbol, and the language with the smallest wins.
 
 The automata are trained on a bounded sample: whole documents of moderate length, in the order of a hash of
-their id, up to ``chars`` symbols for each language. They become one dense table ``(state, symbol) -> (state,
+their id, up to ``chars`` symbols for each language. Where a language has too few of them, the beginnings of its longer
+documents follow, then its shorter ones. They become one dense table ``(state, symbol) -> (state,
 phrases ended)``, so that numpy parses thousands of blocks of text in lockstep, for all languages at once. Whole
 texts are parsed, in blocks of ``BLOCK`` symbols; a phrase ends with its block.
 
@@ -35,6 +36,7 @@ from .common import bound_batches
 
 SYMBOLS, OTHER, PAD, BLOCK, LOCKSTEP = 64, 62, 63, 256, 8192
 SINGLE, DIGITS = 45, 6  # the symbols between SINGLE and OTHER are the 16 digits of a code point
+PARTS = 40  # by hash, in which short texts are ranked
 POINTS = 0x110000
 
 
@@ -211,17 +213,25 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2, true
 
 
 def train(labelled: DataFrame, chars: int = 20_000, least: int = 200, most: int = 6_000, documents: int = 100) -> Model:
-    """Trains on a bounded sample of ``doc_id, text, lang``: of each language, ``documents`` rows of ``least`` to ``most`` characters at most, until they hold ``chars`` symbols."""
+    """Trains on a bounded sample of ``doc_id, text, lang``: of each language, up to ``chars`` symbols.
+
+    ``documents`` rows of ``least`` to ``most`` characters come first, then the first ``most`` characters of as many
+    longer ones, then shorter ones, each of which gives a symbol at least, so ``chars`` of them are enough.
+    """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_n", F.length("text"))
     langs = rows.select("lang").distinct().count()
     if langs > 128:
         raise ValueError(f"{langs} languages; the table of automata is bounded for 128")
     chars = min(chars, 320_000 // max(langs, 1))  # 160 MB for all languages together
-    # the row number limit is applied in each task before the exchange
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    pick = rows.where(F.col("_n").between(least, most)).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= documents)
+    kind = F.when(F.col("_n").between(least, most), 0).when(F.col("_n") > most, 1).otherwise(2)
+    # the row number limit is applied in each task before the exchange; Spark does so up to 1,000, hence the parts of short texts
+    part = F.when(F.col("_kind") == 2, F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(0)
+    order = Window.partitionBy("lang", "_kind", "_part").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = rows.where("_n > 0").select("doc_id", "lang", kind.alias("_kind"), F.substring("text", 1, most).alias("text")).withColumn("_part", part)
+    pick = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max(chars // PARTS, documents))
+    pick = pick.where(F.col("_k") <= F.when(F.col("_kind") == 2, chars // PARTS).otherwise(documents)).select("lang", "_kind", "_part", "_k", "text")
     samples: dict[str, list[str]] = {}
-    for r in sorted(pick.select("lang", "_k", "text").collect(), key=lambda r: (r["lang"], r["_k"])):
+    for r in sorted(pick.collect(), key=lambda r: (r["lang"], r["_kind"], r["_part"], r["_k"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return Model(samples, chars)
 
