@@ -83,9 +83,11 @@ def test_against_brute_force(spark, words, percent):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), words, percent) == brute_force(rows, words, percent)
 
 
-def test_large_bucket(spark, monkeypatch):
+@pytest.mark.parametrize(("members", "size"), [(8, 1 << 20), (512, 9000), (3, 1 << 20)])
+def test_large_bucket(spark, monkeypatch, members, size):
     """Buckets of several blocks, with members that are close to the threshold."""
-    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "MEMBERS", members)
+    monkeypatch.setattr(N, "BYTES", size)
     rng = random.Random(8)
     rows = [(i, t) for i, t in enumerate(star(rng, 70, 3) + star(rng, 70, 5))]
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85) == brute_force(rows, 3, 85)
@@ -116,11 +118,51 @@ def test_repeated_rows_stay_once(spark):
 def test_pruning_keeps_what_could_reach_the_threshold():
     rng = np.random.default_rng(1)
     for percent, similarity in ((85, 0.85), (80, 0.8), (85, 0.9)):
-        a = rng.integers(0, 1 << 32, (20_000, N.HASHES), np.uint32)
+        bands, rows = N.layout(percent)
+        a = rng.integers(0, 1 << 32, (20_000, bands * rows), np.uint32)
         b = np.where(rng.random(a.shape) < similarity, a, a + 1)
-        assert len(N.sequential(a, b, percent)[0]) >= 19_995
+        k = np.arange(len(a))
+        assert len(N.sequential(a, b, k, k, percent)) >= 19_995
         far = np.where(rng.random(a.shape) < similarity - 0.35, a, a + 1)
-        assert len(N.sequential(a, far, percent)[0]) < 20
+        assert len(N.sequential(a, far, k, k, percent)) < 20
+
+
+def test_layout_bounds_the_chance_to_miss():
+    for percent in (50, 70, 80, 85, 90, 99, 100):
+        bands, rows = N.layout(percent)
+        assert bands * rows <= N.HASHES and (1 - (percent / 100) ** rows) ** bands <= N.MISS
+
+
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, n, np.uint64)) for n in (1, 5, 4000, 8000, 3)]
+    got = N.intersections(sets[:3], sets[2:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+    assert N.intersections([sets[0] + np.uint64(10_000)], [sets[1]]).tolist() == [[0]]
+
+
+def test_work_grows_with_a_group(spark, monkeypatch):
+    """A group of near copies of which many are near but below the threshold: rows written and dealt grow with it, not with its square."""
+    counts, write = {}, N.Workspace.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N.Workspace, "write", counted)
+    made = []
+    for n in (300, 600):
+        rng = random.Random(4)
+        counts.clear()
+        texts = [t for e in (1, 2, 3) for t in star(rng, n // 3, e)] + [sentence(rng, 60) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        N.near_report(df, 3, 85).count()
+        made.append(dict(counts))
+    for small, large in zip(made, made[1:], strict=False):
+        # links join components, so they are fewer than those in each block
+        grown = {k: (small.get(k, 0), n) for k, n in large.items() if not k.startswith(("cc-", "links", "merged")) and n > 2.5 * small.get(k, 0) + 20}
+        assert not grown and large["links"] < large["classes"] and large["merged"] < large["classes"]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -140,8 +182,3 @@ def test_components(spark, seed):
     own = {r["node"]: r["label"] for r in found.collect()}
     assert all(own.get(x, x) == find(x) for x in root) and found.count() == len(own)
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t"), "e").count() == 0
-
-
-def test_packing():
-    own = np.unique(np.random.default_rng(2).integers(0, 1 << 64, 500, np.uint64))
-    assert N.unpack(N.pack(own)).tolist() == np.unique(own & np.uint64((1 << 48) - 1)).tolist()
