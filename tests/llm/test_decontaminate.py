@@ -71,14 +71,33 @@ def test_against_brute_force(spark, block_chars):
 
 def test_awkward(spark, awkward, clashing, nothing):
     long = next(r[1] for r in awkward_rows() if r[0] == 8)
-    items = spark.createDataFrame([(3, long[-400:-100]), (2, long[-400:-100]), (4, None), (5, ""), (6, "x"), (None, long[:200])], ITEMS)
-    assert sorted(r["doc_id"] for r in D.leak_report(awkward, items).where("contaminated AND items = 2 AND item_id = 2 AND distance = 0").collect()) == [8, 9]
-    kept = D.remove_leaks(clashing, items)
-    assert kept.columns == clashing.columns and kept.count() == len(awkward_rows()) - 2
+    items = spark.createDataFrame([(3, long[-400:-100]), (2, long[-400:-100]), (4, None), (5, ""), (6, "X"), (None, long[:200])], ITEMS)
+    for size in (4_000_000, 350):
+        found = {r["doc_id"]: (r["items"], r["item_id"], r["distance"]) for r in D.leak_report(awkward, items, block_chars=size).where("contaminated").collect()}
+        assert found == {8: (3, 2, 0), 9: (3, 2, 0), 10: (1, 6, 0), 11: (1, 6, 0)}
+        kept = D.remove_leaks(clashing, items, block_chars=size)
+        assert kept.columns == clashing.columns and kept.count() == len(awkward_rows()) - 4
     assert D.leak_report(nothing, items).count() == 0
     assert D.leak_report(awkward, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "What is  the capital?"), (2, "Rome")], ITEMS)
+    texts = ["so: what is\nthe capital? Rome", "what is the capital", "romeo", "in rome.", "chrome", "(ROME)", "somewhat is the capital?"]
+    got = D.leak_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).orderBy("doc_id").collect()
+    assert [r["items"] for r in got] == [2, 0, 0, 1, 0, 1, 0]
+
+
+def test_many_blocks_use_bounded_memory(spark):
+    """Twenty blocks: each pass broadcasts one, and no plan holds more than one function."""
+    rng = random.Random(9)
+    items = [(i, sentence(rng, 12)) for i in range(20)]
+    docs = spark.createDataFrame([(i, sentence(rng, 20) + " " + items[i % 20][1]) for i in range(60)] + [(99, sentence(rng, 20))], "doc_id long, text string")
+    out = D.leak_report(docs, spark.createDataFrame(items, ITEMS), block_chars=1)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    assert {r["doc_id"]: r["item_id"] for r in out.collect()} == {i: i % 20 for i in range(60)} | {99: None}
+
+
 def test_planted(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     whole = docs.join(F.broadcast(items.select(F.col("text").alias("t"))), F.expr("contains(text, t)"), "left_semi").select("doc_id")

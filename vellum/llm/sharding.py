@@ -12,9 +12,10 @@ ring over them; the plan it returns says which ranks of a cell go to which shard
 their cell, so no task sorts more than about a ``2 ** -ring_bits`` share, and repeated ids share a cell: the
 rank is spread by the text's hash as well, so that one id on a third of all rows makes no large cell.
 
-Cases: null text has no bytes (size 1, crc 0); null ids are hashed as a string of their own; repeated rows are
-interchangeable; an empty table gives an empty result; other columns are ignored, or carried with
-``carry``, where the names that this operator adds replace theirs.
+Cases: null and empty texts have no bytes (size 1, crc 0); a very long text is one row, as loads are counts of rows; null
+ids are hashed as a string of their own; rows that tie in digest and id differ in nothing that a result shows but
+their size, by which they are ordered; repeated rows are interchangeable; an empty table gives an empty result; other
+columns are ignored, or carried with ``carry``, which adds ``shard`` and ``slot`` only and replaces columns of those names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from pyspark.sql.window import Window
 
 from .common import text_of
 
-ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-
 
 def ring_owners(shards: int, vnodes: int, ring_bits: int) -> list[int]:
     """The shard of each cell of the ring."""
@@ -66,10 +65,10 @@ def place(counts: dict[int, int], owners: list[int], quotas: list[int]) -> list[
 
 
 def ring_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, ring_bits: int = 12, carry: bool = False) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each document; ``carry`` keeps the other columns."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each document; with ``carry`` the columns of ``docs`` and ``shard, slot``."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    others = [c for c in docs.columns if c not in (*ADDED, "doc_id")] if carry else []
+    others = [c for c in docs.columns if c not in ("shard", "slot")] if carry else []
     text = text_of(docs)
     keys = docs.select(
         docs["doc_id"],
@@ -90,13 +89,8 @@ def ring_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, ring_bits: i
     s = F.broadcast(segments).alias("s")
     r = ranked.alias("r")
     on = (F.col("r._cell") == F.col("s._cell")) & (F.col("r._rank") >= F.col("s.first")) & (F.col("r._rank") < F.col("s.first") + F.col("s.ranks"))
-    return r.join(s, on).select(
-        "r.doc_id",
-        *[F.col(f"r._row.`{c}`") for c in others],
-        "r.size",
-        "r.text_crc32",
-        F.lit("rows").alias("law"),
-        "s.shard",
-        (F.col("s.slot") + F.col("r._rank") - F.col("s.first")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    slot = (F.col("s.slot") + F.col("r._rank") - F.col("s.first")).alias("slot")
+    placed = r.join(s, on)
+    if carry:
+        return placed.select(*[F.col(f"r._row.`{c}`") for c in others], "s.shard", slot)
+    return placed.select("r.doc_id", "r.size", "r.text_crc32", F.lit("rows").alias("law"), "s.shard", slot, F.lit(None).cast("int").alias("grown_shard"))

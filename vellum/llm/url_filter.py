@@ -3,8 +3,11 @@
 Training is one SQL expression over a small labelled table: gradient descent with a fixed number of steps,
 so it is deterministic. Scoring sums the weights of a URL's n-grams, inside the JVM and without a shuffle.
 
+The built-in labels are neutral examples, not rows of any table that is judged; pass a table of your own for real use.
+
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no rule, has no n-gram that
-speaks against it and is allowed with score 0; a null ``page_id`` and repeated
+speaks against it and is allowed with score 0; a very long URL is scored whole; rules that tie in length can't both fit
+a URL unless they are equal, and then the first wins; a score that ties with the threshold is allowed; a null ``page_id`` and repeated
 rows pass through; an empty table gives an empty result; other columns are ignored. A labelled row whose
 url or label is null is left out; a table without usable rows is an error.
 """
@@ -20,28 +23,28 @@ from pyspark.sql.window import Window
 # The rules, longest first wins: (rule, verdict). A rule is host, then path from its first slash.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-# Invented example URLs, unwanted ones and wanted ones.
+# Example URLs of this module's own making, about subjects; unwanted ones and wanted ones.
 UNWANTED = (
-    "http://cheap-meds.example/en/pills/12", "http://www.cheap-pills-online.example/de/4", "https://pills-cheap.example/buy/8", "http://discount-pills.example/en/45",
-    "http://spam-hub.example/en/1", "https://spam-network.example/fr/22", "http://link-farm.example/es/9", "https://spam-farm-links.example/en/70",
-    "http://content-farm.example/de/5", "http://casino-bonus.example/play", "https://best-casino.example/slots/3", "http://win-lottery.example/en/claim",
-    "https://free-money.example/now", "http://adult-cam.example/live", "https://xxx-videos.example/v/1", "http://hot-singles.example/fr/meet",
-    "http://replica-watches.example/shop", "https://cheap-viagra.example/order", "http://payday-loan.example/apply", "https://crypto-giveaway.example/x2",
+    "http://cheap-meds.example/pills", "http://www.tablets-online.example/order", "https://pills-discount.example/buy/now", "http://no-prescription-pills.example/",
+    "http://spam-hub.example/list", "https://spam-network.example/start", "http://link-farm.example/exchange", "https://spam-links.example/page",
+    "http://content-farm.example/rewrite", "http://casino-bonus.example/play", "https://best-casino.example/slots", "http://win-lottery.example/claim",
+    "https://free-money.example/now", "http://adult-cam.example/live", "https://xxx-videos.example/watch", "http://hot-singles.example/meet",
+    "http://replica-watches.example/shop", "https://cheap-viagra.example/order", "http://payday-loan.example/apply", "https://crypto-giveaway.example/double",
     "http://click-bait.example/you-wont-believe", "https://torrent-crack.example/keygen", "http://warez-download.example/full", "https://seo-backlinks.example/buy",
-    "http://cheap-pills.shop.example/en/33", "https://blog.spam-farm.example/de/81", "http://m.cheap-pills.example/es/2", "https://www.spam-farm.example/en/64",
-    "http://fake-diploma.example/buy", "https://miracle-diet.example/pills", "http://get-rich-quick.example/join", "https://popup-ads.example/en/7",
-    "http://casino-jackpot.example/en/403.html", "https://m.casino-win.example/fr/6", "http://free-bets.example/en/546", "https://www.bets-odds.example/es/71",
+    "http://pills.shop.example/cart", "https://blog.spamming-farms.example/posts", "http://m.cheapest-pill.example/deal", "https://www.link-spammer.example/links",
+    "http://fake-diploma.example/buy", "https://miracle-diet.example/pills", "http://get-rich-quick.example/join", "https://popup-ads.example/click",
+    "http://casino-jackpot.example/spin", "https://m.casino-wins-big.example/roulette", "http://free-bets.example/odds", "https://www.bets-odds.example/live",
 )
 WANTED = (
-    "http://www.library.example/en/12", "https://news.daily.example/fr/45", "http://university.example/de/physics", "https://blog.gardening.example/en/853/",
-    "http://museum.example/es/784", "https://m.weather.example/en/25#top", "http://theatre.example/en/685", "https://en.encyclopedia.example/history/3",
-    "https://www.recipes.example/fr/bread", "http://docs.software.example/en/4.html", "https://travel.example/es/madrid", "http://www.school.example/de/252",
-    "https://science.example/en/979", "http://blog.painter.example/en/960", "https://www.cityhall.example/fr/65.html", "http://poetry.example/en/414",
-    "https://health.example/es/advice", "http://sports.example/en/526", "https://m.radio.example/de/17", "http://www.bookshop.example/en/148.html",
-    "https://thering.example/en/328/", "http://tionther.example/fr/825", "https://www.herathin.example/en/471", "http://blog.renthan.example/de/612",
-    "https://anderon.example/es/384", "http://theston.example/en/676", "https://m.ingthere.example/en/474.html", "http://ertion.example/de/231",
-    "https://blog.thatre.example/es/575", "http://athoure.example/en/519", "https://www.onthed.example/fr/176/", "http://wikipages.example/en/770",
-    "https://m.thathre.example/en/1570", "http://thinbles.example/de/7376", "http://www.ththouer.example/en/1837/", "https://blog.lythand.example/es/7944?page=2",
+    "http://www.library.example/catalogue", "https://news.daily.example/today", "http://university.example/physics", "https://blog.gardening.example/roses/",
+    "http://museum.example/opening-hours", "https://m.weather.example/forecast", "http://theatre.example/season", "https://encyclopedia.example/history/rome",
+    "https://www.recipes.example/bread", "http://docs.software.example/manual.html", "https://travel.example/madrid", "http://www.school.example/timetable",
+    "https://science.example/chemistry", "http://blog.painter.example/landscapes", "https://www.cityhall.example/forms.html", "http://poetry.example/sonnets",
+    "https://health.example/advice", "http://sports.example/results", "https://m.radio.example/listen", "http://www.bookshop.example/novels.html",
+    "https://farmers.example/wheat", "http://mountains.example/maps", "https://www.orchestra.example/concerts", "http://blog.carpenter.example/chairs",
+    "https://railway.example/stations", "http://observatory.example/stars", "https://m.harbour.example/tides.html", "http://archive.example/letters",
+    "https://blog.teacher.example/grammar", "http://botany.example/ferns", "https://www.parliament.example/debates/", "http://dictionary.example/words",
+    "https://m.cinema.example/programme", "http://geology.example/rocks", "http://www.hospital.example/visitors/", "https://blog.historian.example/notes?page=two",
 )
 
 
