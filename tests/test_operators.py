@@ -1,5 +1,6 @@
 """Chunks, packing, splits, padding, labels, vocabularies and tables."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,17 @@ def test_global_number(spark):
     assert [r["n"] for r in got] == list(range(1, 2001))
 
 
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "y")], "id long, g string")
+    grouped = dataset.split(df, ["id"], 0.5, 42, group=["g"]).collect()
+    assert sorted(r["id"] for r in grouped) == [1, 2, 3, 4] and len({r["split"] for r in grouped if r["g"] is None}) == 1
+    got = ranking.global_number(df, F.substring("g", 1, 1), ["g", "id"], "n").collect()
+    assert {r["id"]: r["n"] for r in got} == {2: 1, 3: 2, 1: 3, 4: 4}
+    nulls = spark.createDataFrame([(None, ["a"]), (None, ["b", "c"]), (1, ["d"])], "k long, tokens array<string>")
+    assert dataset.pad(dataset.batches(nulls, ["k", "tokens"], 2, F.floor(F.col("k") / 8))).count() == 3
+    assert tokens.build_vocabulary(spark.createDataFrame([("",), ("a",), (None,)], "token string")).count() == 2
+
+
 def test_padding_and_labels(spark):
     df = spark.createDataFrame([(i, ["t"] * (i % 7)) for i in range(40)], "id long, tokens array<string>")
     got = dataset.pad(dataset.batches(df, ["id"], 16, F.floor(F.col("id") / 8))).collect()
@@ -121,6 +133,26 @@ def test_external_tokenizer(spark):
     assert [r["input_ids"] for r in got] == [None if t is None else own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_in_chunks_and_packs(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    words = ["[UNK]", "the", "king", "##s", "re", "##turn", "16", "##33", ".", "[", "]", "time"]
+    path = tokens.word_piece_file(words, str(tmp_path / "own.json"))
+    own = lambda t: tokenizers.Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    assert own("The kings return") == [1, 2, 3, 4, 5]
+    page = spark.createDataFrame([("1633", "The kings return. The king")], PAGE)
+    got = chunks.fixed_chunks(page, size=4, tokenizer=tokens.external_tokenizer(spark, path), marks=(90, 91, 92)).orderBy("chunk_no").collect()
+    ids = own("The kings return. The king")
+    assert [r["tokens"] for r in got] == [[90, 6, 7, 91, *ids[:4], 92], [90, 6, 7, 91, *ids[4:], 92]]
+    packed = chunks.pack_sentences(page, 40, tokens.external_tokenizer(spark, path), blank=99, tokenizer_of_lists=tokens.external_tokenizer(spark, path, of_lists=True)).collect()
+    assert [r["tokens"] for r in packed] == [[*own("1633 [TIME] "), *own("The kings return"), 99, *own("The king"), 99]]
+
+    @F.pandas_udf("array<string>")
+    def halves(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [t[: len(t) // 2], t[len(t) // 2 :]])
+
+    assert chunks.pack_sentences(page, 40, splitter=halves).first()["sentences"] == 2
+
+
 def test_tables(spark, tmp_path):
     rows = [("a", "London", "1633", 'He said "yes",\nand\r\nleft \\ '), ("b", "NA", None, "  x  "), (None, "p", "1", "é,;")]
     df = spark.createDataFrame(rows, "author string, place string, date string, page_text string")
@@ -129,8 +161,10 @@ def test_tables(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], ("b", None, None, "  x  "), rows[2]], key=str)
     page_tables.write_csv(df.limit(0), str(tmp_path / "b"))
     assert page_tables.load_csvs(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).count() == 3
-    with pytest.raises(FileNotFoundError):
-        page_tables.union_corpora([])
+    (tmp_path / "none").mkdir()
+    for call in (lambda: page_tables.union_corpora([]), lambda: page_tables.load_csvs(spark, [str(tmp_path / "a"), str(tmp_path / "none")])):
+        with pytest.raises(FileNotFoundError):
+            call()
     page_tables.write_parquet(df, str(tmp_path / "c"), ["author"])
     assert spark.read.parquet(str(tmp_path / "c")).count() == 3
 

@@ -7,7 +7,7 @@ import pytest
 from vellum.plans import corpus_queries  # noqa: F401
 from vellum.plans.registry import ORACLES, QUERIES
 
-TABLES = "orders documents".split()
+TABLES = "orders documents nation".split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 

@@ -15,17 +15,13 @@ def header(author="", place="", date=""):
 
 # (content of TEXT, pages by siblings, pages in document order)
 CASES = {
-    "one break": ("<P>First page content</P><PB/><P>Second page content</P>", ["Second page content"], ["First page content", "Second page content"]),
-    "no break": ("<P>All content as one page</P>", ["All content as one page"], ["All content as one page"]),
+    "one break": ("<P>alpha beta</P><PB/><P>gamma</P>", ["gamma"], ["alpha beta", "gamma"]),
+    "no break": ("<P>alpha</P><P>beta</P>", ["alpha beta"], ["alpha beta"]),
     "empty": ("", [], []),
-    "nested before": ("<DIV><P>Nested paragraph</P></DIV><PB/><P>After page break</P>", ["After page break"], ["Nested paragraph", "After page break"]),
-    "empty page": ("<P>First page</P><PB/><PB/><P>Third page</P>", ["Third page"], ["First page", "Third page"]),
-    "front and body": (
-        "<FRONT><P>Preface page 1</P><PB/><P>Preface page 2</P></FRONT><BODY><PB/><P>Main text begins</P></BODY>",
-        ["Preface page 2", "Main text begins"],
-        ["Preface page 1", "Preface page 2", "Main text begins"],
-    ),
-    "inline": ("<P>Some <I>italic</I> and <B>bold</B></P><PB/><DIV><HEAD>Chapter</HEAD><P>Text</P></DIV>", ["Chapter Text"], ["Some italic and bold", "Chapter Text"]),
+    "break after a division": ("<DIV><P>delta</P></DIV><PB/><P>epsilon</P>", ["epsilon"], ["delta", "epsilon"]),
+    "two breaks in a row": ("<P>one</P><PB/><PB/><P>three</P><PB/>", ["three"], ["one", "three"]),
+    "breaks in two parents": ("<FRONT><P>i</P><PB/><P>ii</P></FRONT><BODY><PB/><P>iii</P></BODY>", ["ii", "iii"], ["i", "ii", "iii"]),
+    "inline": ("<P>red <I>green</I> and <B>blue</B></P><PB/><DIV><HEAD>no. 2</HEAD><P>grey</P></DIV>", ["no. 2 grey"], ["red green and blue", "no. 2 grey"]),
     "tail after a break": ("<PB/>tail <P>one</P> more", ["one"], ["tail one more"]),
     "break in a sibling": ("<PB/><DIV><P>a</P><PB/><P>b</P></DIV>", ["a b", "b"], ["a", "b"]),
     "page stays in its parent": ("<DIV><PB/><P>a</P></DIV><P>b</P>", ["a"], ["a b"]),
@@ -34,6 +30,13 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("depth", [1_200, 10_000])
+def test_deep_nesting(depth):
+    content = "<DIV>" * depth + "<P>a</P><PB/><P>b</P>" + "</DIV>" * depth
+    assert [p["page_text"] for p in X.parse_document(book(content), "sibling")] == ["b"]
+    assert [p["page_text"] for p in X.parse_document(book(content), "document_order")] == ["a", "b"]
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_pages(name):
     content, siblings, ordered = CASES[name]
@@ -72,7 +75,7 @@ def test_missing_content_and_other_tags():
 
 def test_files(spark, tmp_path):
     for i in range(5):
-        (tmp_path / f"d{i}.xml").write_bytes(book(f"<P>Content of document {i}</P>", header(f"<AUTHOR>Author {i}</AUTHOR>", "", f"<DATE>160{i}</DATE>")))
+        (tmp_path / f"d{i}.xml").write_bytes(book(f"<P>leaf no. {i}</P>", header(f"<AUTHOR>writer {i}</AUTHOR>", "", f"<DATE>160{i}</DATE>")))
     (tmp_path / "broken.xml").write_bytes(b"<ETS><EEBO>&mdash;</ETS>")
     (tmp_path / "other.txt").write_bytes(b"no XML")
     pages = X.read_pages(spark, str(tmp_path))
@@ -80,7 +83,7 @@ def test_files(spark, tmp_path):
     assert sorted(r["date"] for r in pages.collect()) == [f"160{i}" for i in range(5)]
     errors = X.parse_pages(X.xml_files(spark, str(tmp_path)), with_errors=True).where("error IS NOT NULL").collect()
     assert len(errors) == 1 and errors[0]["path"].endswith("broken.xml") and errors[0]["error"].startswith("ParseError")
-    for limit, n in ((2, 1), (3, 2), (0, 5), (None, 5), (-1, 4), (100, 5)):  # the broken file is the first by name
+    for limit, n in ((2, 1), (3, 2), (0, 5), (None, 5), (-1, 4), (-6, 0), (-9, 0), (100, 5)):  # the broken file is the first by name
         assert X.read_pages(spark, str(tmp_path), max_files=limit).count() == n
     assert X.file_sizes(spark, str(tmp_path), "*.txt").first()["mb"] == 6 / 1048576
 

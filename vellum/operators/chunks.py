@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from vellum.functions.text import py_strip
 from vellum.operators.tokens import CLS, SEP, TIME, whitespace_tokens
 
 Tokenizer = Callable[[Column], Column]
-SPECIALS = 3  # of a sequence: CLS, TIME, SEP
+Splitter = Callable[[Column], Column]
+MARKS = (CLS, TIME, SEP)  # of a sequence; ids where the tokenizer gives ids
 
 
 def valid_rows(pages: DataFrame) -> DataFrame:
@@ -20,38 +21,40 @@ def valid_rows(pages: DataFrame) -> DataFrame:
 
 
 def windows(tokens: Column, size: Column) -> Column:
-    """Consecutive windows of ``size`` tokens, the last one short; none for an empty list or no size."""
+    """Consecutive windows of ``size`` tokens, the last one short; null for an empty list or no size."""
     last = F.floor((F.size(tokens) - 1) / size).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(tokens, i * size + 1, size))
-    return F.when((F.size(tokens) > 0) & (size > 0), cut).otherwise(F.array().cast("array<array<string>>"))
+    return F.when((F.size(tokens) > 0) & (size > 0), cut)
 
 
 def _tokenised(pages: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return valid_rows(pages).withColumns({"_date": tokenizer(py_strip("date")), "_text": tokenizer(py_strip("page_text"))})
 
 
-def _sequences(df: DataFrame, chunks: Column) -> DataFrame:
+def _sequences(df: DataFrame, chunks: Column, marks: Sequence[str | int]) -> DataFrame:
     out = df.select("*", F.posexplode(chunks).alias("chunk_no", "chunk"))
-    tokens = F.concat(F.array(F.lit(CLS)), F.col("_date"), F.array(F.lit(TIME)), F.col("chunk"), F.array(F.lit(SEP)))
+    first, middle, last = (F.array(F.lit(m)) for m in marks)
+    tokens = F.concat(first, F.col("_date"), middle, F.col("chunk"), last)
     out = out.withColumn("tokens", tokens).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("tokens")))
     return out.drop("_date", "_text", "_size")
 
 
-def fixed_chunks(pages: DataFrame, size: int = 250, max_length: int = 512, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
+def fixed_chunks(pages: DataFrame, size: int = 250, max_length: int = 512, tokenizer: Tokenizer = whitespace_tokens, marks: Sequence[str | int] = MARKS) -> DataFrame:
     """One row for each window of ``size`` tokens: ``CLS date TIME window SEP``; sequences over ``max_length`` are dropped.
 
-    The page's columns stay; ``chunk_no, chunk, tokens, attention_mask`` are added.
+    The page's columns stay; ``chunk_no, chunk, tokens, attention_mask`` are added. ``marks`` are the three special tokens,
+    as ids where the tokenizer (see ``tokens.external_tokenizer``) gives ids.
     """
     if size == 0:
         raise ValueError("the chunk size must not be 0")
     df = _tokenised(pages, tokenizer)
-    return _sequences(df, windows(F.col("_text"), F.lit(size))).where(F.size("tokens") <= max_length)
+    return _sequences(df, windows(F.col("_text"), F.lit(size)), marks).where(F.size("tokens") <= max_length)
 
 
-def budgeted_chunks(pages: DataFrame, size: int = 250, max_length: int = 512, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
+def budgeted_chunks(pages: DataFrame, size: int = 250, max_length: int = 512, tokenizer: Tokenizer = whitespace_tokens, marks: Sequence[str | int] = MARKS) -> DataFrame:
     """Like ``fixed_chunks``, but a long date shrinks the windows so that all fit; pages without room are dropped."""
-    df = _tokenised(pages, tokenizer).withColumn("_size", F.least(F.lit(size), max_length - (F.size("_date") + SPECIALS)))
-    return _sequences(df.where("_size > 0"), windows(F.col("_text"), F.col("_size")))
+    df = _tokenised(pages, tokenizer).withColumn("_size", F.least(F.lit(size), max_length - (F.size("_date") + len(marks))))
+    return _sequences(df.where("_size > 0"), windows(F.col("_text"), F.col("_size")), marks)
 
 
 def split_sentences(text: Column) -> Column:
@@ -81,16 +84,20 @@ def packing(lengths: Column, prefix: Column, max_length: int) -> Column:
     return F.aggregate(lengths, start, add, flushed)
 
 
-def pack_sentences(pages: DataFrame, max_length: int = 512, tokenizer: Tokenizer = whitespace_tokens, splitter: Callable[[Column], Column] = split_sentences) -> DataFrame:
+def pack_sentences(pages: DataFrame, max_length: int = 512, tokenizer: Tokenizer = whitespace_tokens, splitter: Splitter = split_sentences, blank: str | int = " ", tokenizer_of_lists: Tokenizer | None = None) -> DataFrame:
     """Sentences packed greedily behind ``date TIME``, each followed by a blank token; cut at ``max_length``.
 
-    The page's columns stay; ``example_no, sentences, tokens, attention_mask`` are added.
+    The page's columns stay; ``example_no, sentences, tokens, attention_mask`` are added. ``splitter`` and ``tokenizer``
+    are column functions, which an Arrow-batched ``pandas_udf`` is too; the tokenizer of sentences must be native, or
+    ``tokenizer_of_lists`` must be given: from a column of lists of texts to one of lists of tokens.
     """
-    df = valid_rows(pages).withColumn("_prefix", tokenizer(F.concat(py_strip("date"), F.lit(f" {TIME} "))))
-    df = df.withColumn("_sentences", F.transform(splitter(py_strip("page_text")), tokenizer)).where(F.size("_sentences") > 0)
-    df = df.withColumn("_examples", packing(F.transform("_sentences", lambda s: F.size(s)), F.size("_prefix"), max_length))
-    out = df.select("*", F.posexplode("_examples").alias("example_no", "_e"))
-    own = F.slice("_sentences", F.col("_e.first"), F.col("_e.n"))
-    body = F.flatten(F.transform(own, lambda s: F.concat(s, F.array(F.lit(" ")))))
-    out = out.withColumn("tokens", F.slice(F.concat("_prefix", body), 1, max_length)).withColumn("sentences", F.col("_e.n"))
-    return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("tokens"))).drop("_prefix", "_sentences", "_examples", "_e")
+    df = valid_rows(pages)
+    # both come out of a generator, so that filters and later columns don't split and strip again
+    parts = F.struct(tokenizer(F.concat(py_strip("date"), F.lit(f" {TIME} "))).alias("prefix"), (tokenizer_of_lists or (lambda c: F.transform(c, tokenizer)))(splitter(py_strip("page_text"))).alias("sentences"))
+    df = df.select("*", F.explode(F.array(parts)).alias("_p"))
+    examples = packing(F.transform("_p.sentences", lambda s: F.size(s)), F.size("_p.prefix"), max_length)
+    out = df.select("*", F.posexplode(examples).alias("example_no", "_e"))
+    own = F.slice("_p.sentences", F.col("_e.first"), F.col("_e.n"))
+    body = F.flatten(F.transform(own, lambda s: F.concat(s, F.array(F.lit(blank)))))
+    out = out.withColumn("tokens", F.slice(F.concat("_p.prefix", body), 1, max_length)).withColumn("sentences", F.col("_e.n"))
+    return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.col("_e.length"))).drop("_p", "_e")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +20,19 @@ def shuffled_number(df: DataFrame, key: list[str], seed: int, out: str) -> DataF
 
 
 def split(df: DataFrame, key: list[str], test_share: float = 0.1, seed: int = 42, group: list[str] | None = None) -> DataFrame:
-    """Adds ``split``, ``test`` for exactly the rounded-up share of rows (of groups, with ``group``), else ``train``."""
+    """Adds ``split``, ``test`` for exactly the rounded-up share of rows (of groups, with ``group``), else ``train``.
+
+    Null is a group like any other.
+    """
     unit = group or key
     units = shuffled_number(df.select(*unit).distinct() if group else df, unit, seed, "_n")
     total = units.count()
     named = units.withColumn("split", F.when(F.col("_n") <= F.ceil(F.lit(test_share) * total), "test").otherwise("train")).drop("_n")
-    return df.join(named, unit) if group else named
+    if not group:
+        return named
+    named = named.select("split", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(unit)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(unit)])
+    return df.join(named, same).drop(*[f"_key{i}" for i in range(len(unit))])
 
 
 def batches(df: DataFrame, order: list[str], size: int, bucket: Column) -> DataFrame:
@@ -40,9 +49,25 @@ def pad(df: DataFrame, column: str = "tokens", filler: Column | None = None, pad
     return df.withColumn("attention_mask", mask).withColumn(column, F.concat(F.col(column), F.array_repeat(fill, F.col("padded_length") - F.col("_len")))).drop("_len")
 
 
-def token_draw(seed: int, key: Column, pos: Column) -> Column:
-    """A pseudorandom long for a token."""
-    return F.conv(F.substring(seeded_key(seed, key, pos), 1, 8), 16, 10).cast("long")
+PRIME = 2_147_483_647
+
+
+def token_draws(seed: int, key: Column, tokens: Column) -> Column:
+    """A pseudorandom long below ``PRIME`` for each token of a row.
+
+    One digest gives three numbers a, b and c for the row; token i draws ``y * y % PRIME`` with ``y = x * x + c`` and
+    ``x = a + b * (i + 1)``, both modulo ``PRIME``: arithmetic that never exceeds a long.
+    """
+    digest = seeded_key(seed, key)
+    a, b, c = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9, 17))
+    keys = F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+    square = lambda x: x * x % PRIME
+
+    def draw(k: Column) -> Column:
+        return F.transform(tokens, lambda _, i: square((square((k["a"] + k["b"] * (i.cast("long") + 1)) % PRIME) + k["c"]) % PRIME))
+
+    # a row's numbers are the start of a fold over one element, so that they are computed once
+    return F.aggregate(F.array(keys), F.array().cast("array<bigint>"), lambda _, k: draw(k))
 
 
 def masked(token: Column, draw: Column, mask: Column, other: Column, percent: int = 15) -> tuple[Column, Column]:
@@ -52,9 +77,13 @@ def masked(token: Column, draw: Column, mask: Column, other: Column, percent: in
 
 
 def mlm(df: DataFrame, key: str, column: str = "input_ids", mask_id: int = 103, vocabulary: int = 30522, seed: int = 42, percent: int = 15) -> DataFrame:
-    """Masks ids in place and adds ``labels``: the id where it is to be predicted, else ``IGNORED``."""
-    draws = F.transform(column, lambda _, i: token_draw(seed, F.col(key), i))
-    df = df.withColumn("_draws", draws)
+    """Masks ids in place and adds ``labels``: the id where it is to be predicted, else ``IGNORED``.
+
+    A row without ids (null) stays without. Rows with equal keys draw alike.
+    """
+    # draws come out of a generator, so that no later expression computes them again
+    ids = F.struct(F.col(column).alias("ids"), token_draws(seed, F.col(key), F.col(column)).alias("draws"))
+    df = df.select("*", F.explode(F.array(ids)).alias("_drawn")).withColumn("_draws", F.col("_drawn.draws")).withColumn(column, F.col("_drawn.ids")).drop("_drawn")
     shown = F.zip_with(column, "_draws", lambda t, d: masked(t, d, F.lit(mask_id), (F.floor(d / 1000) % vocabulary).cast("int"), percent)[0])
     labels = F.zip_with(column, "_draws", lambda t, d: F.when(d % 100 < percent, t).otherwise(F.lit(IGNORED)))
     return df.withColumns({"labels": labels, column: shown}).drop("_draws")

@@ -11,16 +11,17 @@ def global_number(df: DataFrame, bucket: Column, order: list[Column | str], out:
     """Adds ``out``, a row's number from 1 in the order of ``bucket``, then of ``order``.
 
     ``bucket`` splits the order into ranges, such as a prefix of the key. Each is sorted on its own; the table
-    of their totals, a row for each bucket, is the only thing that one task sees.
+    of their totals, a row for each bucket, is the only thing that one task sees. A null bucket comes first.
     """
     df = df.withColumn("_bucket", bucket)
     totals = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    totals = totals.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     numbered = df.withColumn(out, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return numbered.join(totals, "_bucket").withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before")
+    joined = numbered.join(totals, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return joined.withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_of", "_before")
 
 
 def seeded_key(seed: int, *key: Column) -> Column:
-    """A reproducible pseudorandom key: a hexadecimal digest of the seed and the row's key."""
+    """A reproducible pseudorandom key: a hexadecimal digest of the seed and the row's key, which leaves out nulls."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary"))

@@ -22,6 +22,29 @@ def predicted_positions(labels: Column, ignored: int = -100) -> Column:
     return F.size(F.filter(labels, lambda x: x != ignored))
 
 
+def validation_report(sequences: DataFrame, batched: DataFrame, key: list[str]) -> DataFrame:
+    """``item, value`` of a chunked data set and its padded, labelled batches; an empty one has counts and batches of 0.
+
+    Sequences, tokens and active positions; the first sequence by ``key``: its length and first 50 tokens; the share of
+    ``split`` if there is one; and the number of batches, the longest one's length and predicted positions.
+    """
+    text = lambda c: c.cast("string")
+    own = sequences.agg(
+        F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(active_positions(F.col("attention_mask"))), F.lit(0)).alias("active"),
+        F.min_by(F.struct(F.size("tokens").alias("n"), F.array_join(F.slice("tokens", 1, 50), " ").alias("head")), F.struct(*key)).alias("first"),
+    )
+    items = {"sequences": F.col("sequences"), "tokens": F.col("tokens"), "active": F.col("active"), "first_length": F.col("first.n"), "first_tokens": F.col("first.head")}
+    out = own.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), text(v).alias("value")) for k, v in items.items()])).alias("_i")).select("_i.*")
+    of = batched.agg(F.count_distinct("batch_id").alias("batches"), F.coalesce(F.max("padded_length"), F.lit(0)).alias("batch_length"), F.coalesce(F.sum(predicted_positions(F.col("labels"))), F.lit(0)).alias("predicted"))
+    more = of.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), text(F.col(k)).alias("value")) for k in ("batches", "batch_length", "predicted")])).alias("_i")).select("_i.*")
+    return out.unionByName(more)
+
+
+def element(df: DataFrame, order: list[str], number: int) -> DataFrame:
+    """Row ``number`` (from 0) in an order; none beyond the end."""
+    return df.orderBy(*order).offset(number).limit(1)
+
+
 def steps(rows: DataFrame, batch_size: int, epochs: int) -> DataFrame:
     """``rows, steps_per_epoch, total_steps``."""
     n = rows.agg(F.count(F.lit(1)).alias("rows"))

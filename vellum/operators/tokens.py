@@ -6,10 +6,10 @@ Arrow-batched function. A vocabulary is a table ``(token, id)``; encoding and de
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,25 +28,44 @@ def regex_tokens(text: Column, pattern: str = r"\w+|[^\w\s]") -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def external_ids(df: DataFrame, column: str, tokenizer_json: str, out: str = "input_ids") -> DataFrame:
-    """Ids by a tokenizer file of the ``tokenizers`` library, without special tokens.
+def external_tokenizer(spark: SparkSession, tokenizer_json: str, of_lists: bool = False) -> Callable[[Column], Column]:
+    """A column function from texts to ids by a tokenizer file of the ``tokenizers`` library, without special tokens.
 
-    The driver reads the file; its content goes to the executors, so they need not see the path.
+    With ``of_lists`` from lists of texts to lists of ids. The driver reads the file; its content goes to the executors,
+    so they need not see the path. Null gives null.
     """
     with open(tokenizer_json, encoding="utf-8") as f:
-        content = f.read()
-    shared = df.sparkSession.sparkContext.broadcast(content)
+        shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file, whose size doesn't grow with the data
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<array<int>>" if of_lists else "array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True
-        for texts in batches:
-            yield pd.Series([e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)])
 
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), encode(column)))
+        def ids(texts: list[str | None]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+        for values in batches:
+            yield pd.Series([None if v is None else ids(list(v)) for v in values] if of_lists else ids(list(values)), dtype=object)
+
+    return lambda c: F.when(c.isNotNull(), encode(c))
+
+
+def external_ids(df: DataFrame, column: str, tokenizer_json: str, out: str = "input_ids") -> DataFrame:
+    """Adds the ids of a column by ``external_tokenizer``."""
+    return df.withColumn(out, external_tokenizer(df.sparkSession, tokenizer_json)(F.col(column)))
+
+
+def word_piece_file(vocabulary: list[str], path: str, unknown: str = "[UNK]") -> str:
+    """Writes a tokenizer file for a WordPiece vocabulary (a token a line in its usual file; ``##`` continues a word)."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordPiece({t: i for i, t in enumerate(vocabulary)}, unk_token=unknown))
+    tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.BertNormalizer(), pre_tokenizers.BertPreTokenizer()
+    tokenizer.save(path)
+    return path
 
 
 def build_vocabulary(tokens: DataFrame, column: str = "token", first_id: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ from vellum.functions import dates as D
 from vellum.functions.text import missing_to_null, preview
 from vellum.operators import chunks, dataset, summary, tokens
 from vellum.plans.registry import query
+from vellum.session import shared_folder
 from vellum.sources import page_tables, xml_pages
 
 
@@ -99,7 +100,8 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sentence_pack",
     f"""
 WITH RECURSIVE {PAGES},
-s AS (SELECT doc_id, list_transform({SENTENCES}, lambda x: len({WORDS.format("x")})) AS n FROM pages_ WHERE page_text <> ''),
+w AS (SELECT doc_id, date, list_transform({SENTENCES}, lambda x: {WORDS.format("x")}) AS w FROM pages_ WHERE page_text <> ''),
+s AS (SELECT doc_id, list_transform(w, lambda x: len(x)) AS n FROM w),
 f AS (
   SELECT doc_id, n, 1 AS i, 2 AS cur, 0 AS cnt, 0 AS ex, CAST(NULL AS INTEGER) AS out_len, CAST(NULL AS INTEGER) AS out_n, CAST(NULL AS INTEGER) AS out_ex FROM s WHERE len(n) > 0
   UNION ALL
@@ -111,10 +113,26 @@ f AS (
     CASE WHEN cnt > 0 AND (i > len(n) OR cur + n[i] + 1 > 128) THEN CAST(cnt AS INTEGER) END,
     CASE WHEN cnt > 0 AND (i > len(n) OR cur + n[i] + 1 > 128) THEN CAST(ex AS INTEGER) END
   FROM f WHERE cur >= 0)
-SELECT doc_id, out_ex AS example_no, out_n AS sentences, out_len AS tokens FROM f WHERE out_len IS NOT NULL""",
+SELECT doc_id, out_ex AS example_no, out_n AS sentences, out_len AS tokens,
+  array_to_string(list_slice([date, '[TIME]'] || flatten(list_transform(list_slice(w, i - out_n, i - 1), lambda x: x || [' '])), 1, 128), '|') AS sequence
+FROM (SELECT doc_id, i - 1 AS i, out_len, out_n, out_ex FROM f WHERE out_len IS NOT NULL) JOIN w USING (doc_id)""",
 )
 def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.pack_sentences(pages(spark, sf_dir), max_length=128).select("doc_id", F.col("example_no").cast("int").alias("example_no"), "sentences", F.size("tokens").alias("tokens"))
+    out = chunks.pack_sentences(pages(spark, sf_dir), max_length=128)
+    return out.select("doc_id", F.col("example_no").cast("int").alias("example_no"), "sentences", F.size("tokens").alias("tokens"), F.array_join("tokens", "|").alias("sequence"))
+
+
+@query(
+    "chunk_fixed_ids",
+    f"""WITH {PAGES}, t AS (SELECT doc_id, list_transform({WORDS.format("page_text")}, lambda x: CAST(1000 + len(x) AS INTEGER)) AS w FROM pages_ WHERE page_text <> ''),
+c AS (SELECT doc_id, w, unnest(range(0, len(w), 250)) AS i FROM t)
+SELECT doc_id, CAST(i // 250 AS INTEGER) AS chunk_no, '101 1004 50368 ' || array_to_string(list_slice(w, i + 1, i + 250), ' ') || ' 102' AS ids FROM c""",
+)
+def chunk_fixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tokenizer that gives ids, here by the length of a word."""
+    by_length = lambda c: F.transform(tokens.whitespace_tokens(c), lambda x: F.length(x) + 1000)
+    out = chunks.fixed_chunks(pages(spark, sf_dir), tokenizer=by_length, marks=(101, 50368, 102))
+    return out.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 # --- dates --------------------------------------------------------------------------------------
@@ -199,18 +217,48 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda x: F.length(x) + 1000).alias("input_ids"))
 
 
+#: The draws of ``dataset.token_draws`` with seed 42.
+DRAWS_SQL = f"""{IDS_SQL}, k AS (SELECT doc_id, ids, md5('42:' || doc_id) AS h FROM ids WHERE len(ids) > 0),
+abc AS (SELECT doc_id, ids, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 2147483647 AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2147483647 AS b, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 2147483647 AS c FROM k),
+x AS (SELECT doc_id, c, unnest(range(0, len(ids))) AS i, unnest(ids) AS id, a, b FROM abc),
+y AS (SELECT doc_id, i, id, (((a + b * (i + 1)) % 2147483647) * ((a + b * (i + 1)) % 2147483647) % 2147483647 + c) % 2147483647 AS y FROM x),
+h AS (SELECT doc_id, i, id, y * y % 2147483647 AS h FROM y)"""
+
+
 @query(
     "mlm_mask",
-    f"""WITH {IDS_SQL}, p AS (SELECT doc_id, ids, unnest(range(0, len(ids))) AS i FROM ids),
-h AS (SELECT doc_id, i, ids[i + 1] AS id, CAST('0x' || substr(md5('42:' || doc_id || ':' || i), 1, 8) AS BIGINT) AS h FROM p)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(sum(CASE WHEN h % 100 < 15 THEN 1 ELSE 0 END) AS BIGINT) AS predicted,
-  CAST(sum(CASE WHEN h % 100 < 15 AND (h // 100) % 10 < 8 THEN 103 WHEN h % 100 < 15 AND (h // 100) % 10 = 8 THEN (h // 1000) % 30522 ELSE id END) AS BIGINT) AS id_sum,
-  CAST(sum(CASE WHEN h % 100 < 15 THEN id ELSE -100 END) AS BIGINT) AS label_sum FROM h GROUP BY doc_id""",
+    f"""WITH {DRAWS_SQL}
+SELECT doc_id, string_agg(CASE WHEN h % 100 < 15 AND (h // 100) % 10 < 8 THEN 103 WHEN h % 100 < 15 AND (h // 100) % 10 = 8 THEN (h // 1000) % 30522 ELSE id END, ' ' ORDER BY i) AS ids,
+  string_agg(CASE WHEN h % 100 < 15 THEN id ELSE -100 END, ' ' ORDER BY i) AS labels FROM h GROUP BY doc_id""",
 )
 def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dataset.mlm(_ids(spark, sf_dir), "doc_id").where(F.size("input_ids") > 0)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", F.size("input_ids").cast("long").alias("tokens"), summary.predicted_positions(F.col("labels")).cast("long").alias("predicted"), total("input_ids").alias("id_sum"), total("labels").alias("label_sum"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return out.select("doc_id", joined("input_ids").alias("ids"), joined("labels").alias("labels"))
+
+
+@query(
+    "validation_report",
+    f"""WITH {PAGES}, t AS (SELECT doc_id, {WORDS.format("page_text")} AS w, date FROM pages_ WHERE page_text <> ''),
+c AS (SELECT doc_id, date, w, unnest(range(0, len(w), 250)) AS i FROM t),
+q AS (SELECT doc_id, i // 250 AS n, ['[CLS]', date, '[TIME]'] || list_slice(w, i + 1, i + 250) || ['[SEP]'] AS s FROM c),
+{DRAWS_SQL}, l AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS b, len(ids) AS n FROM ids),
+r AS (SELECT (SELECT count(*) FROM q) AS sequences, (SELECT coalesce(sum(len(s)), 0) FROM q) AS tokens, (SELECT len(s) FROM q ORDER BY doc_id, n LIMIT 1) AS first_length,
+  (SELECT array_to_string(list_slice(s, 1, 50), ' ') FROM q ORDER BY doc_id, n LIMIT 1) AS first_tokens, (SELECT count(DISTINCT b) FROM l) AS batches, (SELECT max(n) FROM l) AS batch_length, (SELECT count(*) FROM h WHERE h % 100 < 15) AS predicted)
+SELECT 'sequences' AS item, CAST(sequences AS VARCHAR) AS value FROM r UNION ALL SELECT 'tokens', CAST(tokens AS VARCHAR) FROM r UNION ALL SELECT 'active', CAST(tokens AS VARCHAR) FROM r
+UNION ALL SELECT 'first_length', CAST(first_length AS VARCHAR) FROM r UNION ALL SELECT 'first_tokens', first_tokens FROM r UNION ALL SELECT 'batches', CAST(batches AS VARCHAR) FROM r
+UNION ALL SELECT 'batch_length', CAST(batch_length AS VARCHAR) FROM r UNION ALL SELECT 'predicted', CAST(predicted AS VARCHAR) FROM r""",
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = chunks.fixed_chunks(pages(spark, sf_dir))
+    batched = dataset.batches(_ids(spark, sf_dir), ["doc_id"], 16, F.floor(F.col("doc_id") / 4096))
+    labelled = dataset.mlm(dataset.pad(batched.withColumn("own", F.col("input_ids")), "input_ids", F.lit(0)).drop("input_ids").withColumnRenamed("own", "input_ids"), "doc_id")
+    return summary.validation_report(sequences, labelled, ["doc_id", "chunk_no"])
+
+
+@query("element_access", f"WITH {IDS_SQL} SELECT doc_id, array_to_string(list_slice(ids, 1, 50), ' ') AS first_ids FROM ids ORDER BY doc_id LIMIT 1 OFFSET 3")
+def element_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.element(_ids(spark, sf_dir), ["doc_id"], 3).select("doc_id", F.array_join(F.slice("input_ids", 1, 50).cast("array<string>"), " ").alias("first_ids"))
 
 
 @query("clm_labels", f"WITH {IDS_SQL} SELECT doc_id, CAST(len(list_filter(ids, lambda x: x = 1003)) AS INTEGER) AS ignored, CAST(coalesce(list_sum(list_transform(ids, lambda x: CASE WHEN x = 1003 THEN -100 ELSE x END)), 0) AS BIGINT) AS label_sum FROM ids")
@@ -295,24 +343,87 @@ def xml_missing_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-# --- tables -------------------------------------------------------------------------------------
+@query("xml_date_attr", "SELECT doc_id, CAST(1500 + doc_id % 400 AS VARCHAR) AS date FROM documents WHERE doc_id % 2 = 1")
+def xml_date_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty date element with an attribute, an empty one without, or one with text."""
+    year = 1500 + F.col("doc_id") % 400
+    date = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit('<DATE VALUE=" '), year, F.lit(' "></DATE>'))).otherwise(F.lit("<DATE/>"))
+    head = F.concat(F.lit("<HEADER><FILEDESC><SOURCEDESC><BIBLFULL><PUBLICATIONSTMT>"), date, F.lit("</PUBLICATIONSTMT></BIBLFULL></SOURCEDESC></FILEDESC></HEADER>"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("<ETS>"), head, F.lit("<EEBO><TEXT>x</TEXT></EEBO></ETS>")).cast("binary").alias("content"))
+    return xml_pages.parse_pages(files).where(F.col("date") != xml_pages.UNKNOWN).select(F.col("path").cast("long").alias("doc_id"), "date")
+
+
+@query("xml_empty_pages", f"WITH x AS (SELECT doc_id, {LINES} AS l FROM documents) SELECT doc_id, CAST(greatest(len(l) - 1, 0) AS BIGINT) AS siblings, CAST(len(l) AS BIGINT) AS ordered FROM x WHERE len(l) > 1")
+def xml_empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two breaks after each line: every other page is empty and no page."""
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    clean = F.transform(lines, lambda x: F.concat(F.lit("<P>"), F.translate(x, "&<>", "   "), F.lit(".</P>")))
+    xml = F.concat(F.lit("<ETS><EEBO><TEXT>"), F.array_join(clean, "<PB/><PB/>"), F.lit("</TEXT></EEBO></ETS>"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), xml.cast("binary").alias("content"), F.size(lines).alias("n")).where("n > 1")
+    count = lambda mode, name: xml_pages.parse_pages(files, mode).groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias(name))
+    return count("sibling", "siblings").join(count("document_order", "ordered"), "doc_id")
+
+
+def _book_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an XML file for each nation."""
+    folder, name = shared_folder(spark, "books"), F.col("n_name")
+    head = F.concat(F.lit("<HEADER><FILEDESC><TITLESTMT><AUTHOR>"), name, F.lit("</AUTHOR></TITLESTMT></FILEDESC></HEADER>"))
+    xml = F.concat(F.lit("<ETS>"), head, F.lit("<EEBO><TEXT><P>"), name, F.lit("</P><PB/><P>of region "), F.col("n_regionkey"), F.lit("</P></TEXT></EEBO></ETS>"))
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("number"), xml.alias("value")).write.partitionBy("number").text(folder)
+    return folder
+
 
+@query("xml_batch_scan", "SELECT n_name AS author, 'Unknown' AS place, 'Unknown' AS date, 'of region ' || n_regionkey AS page_text FROM nation")
+def xml_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xml_pages.read_pages(spark, _book_folder(spark, sf_dir), glob="*.txt")
 
-def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@query("xml_file_sizes", "SELECT n_nationkey AS number, CAST(length('<ETS><HEADER><FILEDESC><TITLESTMT><AUTHOR></AUTHOR></TITLESTMT></FILEDESC></HEADER><EEBO><TEXT><P></P><PB/><P>of region </P></TEXT></EEBO></ETS>') + 2 * length(n_name) + length(CAST(n_regionkey AS VARCHAR)) + 1 AS BIGINT) AS bytes FROM nation")
+def xml_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = xml_pages.file_sizes(spark, _book_folder(spark, sf_dir), "*.txt")
+    number = F.regexp_extract("path", "number=([0-9]+)", 1).cast(table(spark, sf_dir, "nation").schema["n_nationkey"].dataType)
+    return sizes.select(number.alias("number"), F.round(F.col("mb") * 1048576).cast("long").alias("bytes"))
+
+
+# --- tables -------------------------------------------------------------------------------------
 
 
 @query("csv_round_trip", f"WITH {PAGES} SELECT source AS author, lang AS place, date, page_text FROM pages_ WHERE page_text IS NOT NULL")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared(spark, "csv")
+    path = shared_folder(spark, "csv")
     page_tables.write_csv(pages(spark, sf_dir).where("page_text IS NOT NULL").select(F.col("source").alias("author"), F.col("lang").alias("place"), "date", "page_text"), path)
     return page_tables.read_csv(spark, path)
 
 
+@query("csv_load_several", "SELECT source AS author, NULL AS place, lang AS date, 'even' AS page_text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, 'odd', lang, NULL FROM documents WHERE doc_id % 2 = 1")
+def csv_load_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, folders = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author"), F.col("lang").alias("date")), []
+    for k, (place, text) in enumerate((("null", "even"), ("odd", "NaN"))):
+        folders.append(shared_folder(spark, f"csv{k}"))
+        page_tables.write_csv(d.where(F.col("doc_id") % 2 == k).select("author", F.lit(place).alias("place"), "date", F.lit(text).alias("page_text")), folders[-1])
+    return page_tables.load_csvs(spark, folders)
+
+
+@query("column_drop", f"WITH {PAGES} SELECT date, CAST(count(*) AS BIGINT) AS sequences FROM (SELECT date, unnest(range(0, len({WORDS.format('page_text')}), 250)) FROM pages_ WHERE page_text <> '') GROUP BY date")
+def column_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns go, the date stays beside the new rows."""
+    out = chunks.fixed_chunks(pages(spark, sf_dir)).drop("doc_id", "page_text", "lang", "source")
+    return out.groupBy("date").agg(F.count(F.lit(1)).alias("sequences"))
+
+
+@query(
+    "date_odd",
+    """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '1_650' WHEN 2 THEN '+165' WHEN 3 THEN ' 16 ' WHEN 4 THEN '--1' || (650 + o_orderkey % 50) ELSE '' END AS date FROM orders)
+SELECT o_orderkey, date, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '1_650' WHEN 2 THEN '+165' WHEN 3 THEN ' 16 ' WHEN 4 THEN CAST(1650 + o_orderkey % 50 AS VARCHAR) ELSE '' END AS date_convert,
+  CASE WHEN o_orderkey % 6 = 4 THEN CAST(1650 + o_orderkey % 50 AS INTEGER) END AS year FROM o""",
+)
+def date_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, signed, underscored, blank and empty dates."""
+    k = F.col("o_orderkey") % 6
+    date = F.when(k == 0, None).when(k == 1, "1_650").when(k == 2, "+165").when(k == 3, " 16 ").when(k == 4, F.concat(F.lit("--1"), 650 + F.col("o_orderkey") % 50)).otherwise("")
+    return D.clean_dates(table(spark, sf_dir, "orders").select("o_orderkey", date.alias("date")))
+
+
 @query("csv_na_values", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'Na' ELSE lang END AS place FROM documents")
 def csv_na_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
@@ -330,11 +441,9 @@ def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, ["doc_id"])
 
 
-@query("xml_max_files", "SELECT doc_id FROM documents WHERE doc_id % 11 <> 10 ORDER BY CAST(doc_id AS VARCHAR) LIMIT 40")
+@query("xml_max_files", "SELECT n_name AS author FROM nation ORDER BY CAST(n_nationkey AS VARCHAR) LIMIT 10")
 def xml_max_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = xml_documents(spark, sf_dir).where(F.col("path").cast("long") % 11 != 10)
-    kept = summary.first_rows(files, 40, ["path"])
-    return xml_pages.parse_pages(kept, "document_order").select(F.col("path").cast("long").alias("doc_id")).distinct()
+    return xml_pages.read_pages(spark, _book_folder(spark, sf_dir), max_files=10, glob="*.txt").select("author")
 
 
 @query("corpus_summary", f"WITH {PAGES} SELECT lang, count(*) AS pages, count(*) FILTER (WHERE page_text IS NOT NULL AND page_text <> '') AS with_text, CAST(coalesce(sum(length(page_text)), 0) AS BIGINT) AS chars FROM pages_ GROUP BY lang")

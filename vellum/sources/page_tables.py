@@ -35,8 +35,17 @@ def union_corpora(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def load_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return union_corpora([read_csv(spark, p) for p in paths])
+def csv_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """``path`` of the CSV files below a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path")
+
+
+def load_csvs(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """All rows of several files or folders; fails on a folder without a CSV file."""
+    for p in paths:
+        if not csv_files(spark, p).take(1):
+            raise FileNotFoundError(f"no CSV file in {p}")
+    return union_corpora([read_csv(spark, p, **options) for p in paths])
 
 
 def corpus_path(folder: str, corpus: str) -> str:

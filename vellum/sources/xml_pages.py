@@ -49,40 +49,40 @@ def bibliography(root: ET.Element) -> dict[str, str]:
 def sibling_pages(text: ET.Element) -> list[str]:
     """A page is what follows a break among its siblings, up to the next break or the parent's end.
 
-    One walk in document order: a break opens a page, and each later child of the same parent is added to it.
+    One walk in document order, with a stack of its own for any depth: a break opens a page, and each later child of
+    the same parent is added to it.
     """
     pages: list[list[str]] = []
-
-    def walk(parent: ET.Element) -> None:
-        page = None
-        for child in parent:
-            if child.tag == BREAK:
-                page = []
-                pages.append(page)
-            elif page is not None:
-                page.append(spaced(child))
-            walk(child)
-
-    walk(text)
+    stack: list[tuple[Iterator[ET.Element], list[str] | None]] = [(iter(text), None)]
+    while stack:
+        children, page = stack.pop()
+        child = next(children, None)
+        if child is None:
+            continue
+        if child.tag == BREAK:
+            page = []
+            pages.append(page)
+        elif page is not None:
+            page.append(spaced(child))
+        stack += [(children, page), (iter(child), None)]
     return [p for p in (" ".join(filter(None, parts)).strip() for parts in pages) if p]
 
 
 def ordered_pages(text: ET.Element) -> list[str]:
     """Every piece of text belongs to the page of the last break before it, page 0 included."""
     pages: list[list[str]] = [[]]
-
-    def walk(element: ET.Element) -> None:
-        if element.tag == BREAK:
+    stack: list[ET.Element | str | None] = [text]  # elements still to enter, and tails
+    while stack:
+        item = stack.pop()
+        if not isinstance(item, ET.Element):
+            if item and item.strip():
+                pages[-1].append(item.strip())
+            continue
+        if item.tag == BREAK:
             pages.append([])
-        for piece in (element.text,):
-            if piece and piece.strip():
-                pages[-1].append(piece.strip())
-        for child in element:
-            walk(child)
-            if child.tail and child.tail.strip():
-                pages[-1].append(child.tail.strip())
-
-    walk(text)
+        for child in reversed(item):
+            stack += [child.tail, child]
+        stack.append(item.text)
     return [p for p in map(" ".join, pages) if p]
 
 
@@ -135,17 +135,19 @@ def xml_files(spark: SparkSession, path: str | list[str], max_files: int | None
     """
     paths = [path] if isinstance(path, str) else path
     source = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    if max_files:
-        names = sorted(r["path"] for r in source.load(paths).select("path").collect())[:max_files]
-        if not names:
-            return source.load(paths).select("path", "content").limit(0)
-        paths = names
-    return source.load(paths).select("path", "content")
+    files = source.load(paths).select("path", "content")
+    if not max_files:
+        return files
+    if max_files < 0:  # only the last names go to the driver
+        last = source.load(paths).select("path").orderBy(F.desc("path")).limit(-max_files).collect()
+        return files.where(F.col("path") < min(r["path"] for r in last)) if len(last) == -max_files else files.limit(0)
+    names = [r["path"] for r in source.load(paths).select("path").orderBy("path").limit(max_files).collect()]
+    return source.load(names).select("path", "content") if names else files.limit(0)
 
 
-def read_pages(spark: SparkSession, path: str | list[str], max_files: int | None = None, mode: str = "sibling", content_tag: str = "EEBO") -> DataFrame:
+def read_pages(spark: SparkSession, path: str | list[str], max_files: int | None = None, mode: str = "sibling", content_tag: str = "EEBO", glob: str = "*.xml") -> DataFrame:
     """The four columns of the page table, from XML files."""
-    return parse_pages(xml_files(spark, path, max_files), mode, content_tag).select(*PAGE_FIELDS)
+    return parse_pages(xml_files(spark, path, max_files, glob), mode, content_tag).select(*PAGE_FIELDS)
 
 
 def file_sizes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
