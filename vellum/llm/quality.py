@@ -1,28 +1,32 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, in ``SYMBOLS`` classes, of order 4, one for each language. Characters rather than
-words, since they judge words never seen, and since a model of all trusted text then has at most
-``SYMBOLS ** 4`` entries a language, whatever the size of the corpus.
-
-1. *Counting.* One pass over all documents, joined with their labels, gives the counts of the 4-grams of trusted
-   text, and a 0 for those that only occur elsewhere. Each task counts its own text first.
-2. *Sharded joins.* Counts of lower orders are numbers of left extensions. By order, the n-grams of the corpus are
+The model is of characters, of order ``ORDER``, one for each value of lang. Characters rather than words, since they
+judge words never seen. A symbol is a whole code point, of any script; only digits are one symbol, as are blanks.
+
+1. *Packing.* One narrow pass packs the documents of a task into compressed chunks of one language and about ``CHUNK``
+   characters. Labels are joined here: broadcast up to ``MOST_LABELS`` trusted ids, which are counted first, by a merge
+   join beyond. Of trusted documents, every ``FOLDS``-th by a hash of its id is held out of training.
+2. *Counting.* Each chunk gives its distinct n-grams, with their counts in text of training and a 0 for those that
+   only occur elsewhere.
+3. *Sharded joins.* Counts of lower orders are numbers of left extensions. By order, the n-grams of the corpus are
    joined with their counts and with their contexts' totals, all sharded by n-gram, which gives the
    interpolated probability of each n-gram that occurs, seen in training or not.
-3. *Scoring.* The table of probabilities (bounded as above, for ``LANGS`` languages at most, a byte each) goes to the
-   executors, and each document gets its mean negative log probability a character.
-4. *Words.* A word's surprise is its mean negative log probability a character, with the white space after it. The
-   ``rare`` most surprising part of a language's trusted words sets the bound from which a word is odd. A mean over
+4. *Scoring.* The distinct n-grams of each chunk are joined with the sharded probabilities and meet the chunk in one
+   task: each document gets its mean negative log probability a character. A task holds one chunk and its n-grams,
+   the driver none; rows are n-grams of chunks, so they are fewer than characters and grow with the corpus.
+5. *Words.* A word's surprise is its mean negative log probability a character, with the white space after it. The
+   ``rare`` most surprising part of a language's held-out words sets the bound from which a word is odd. A mean over
    thousands of characters hides a few words that trusted text never has, such as insults; their share doesn't.
-5. *Thresholds* are quantiles of trusted documents, by language, one for the perplexity and one for the share of odd
-   words. Each is at ``1 - reject / 2``, so ``reject`` of trusted documents are over one of them at most. Perplexities are
-   drawn towards the language's median as if ``prior`` more characters had it, and shares towards 0 by ``WORDS``
-   words, so that a short document isn't rejected for a few rare letters.
+6. *Thresholds* are quantiles of held-out trusted documents, by language (of those of training where none is held out),
+   one for the perplexity, at ``1 - reject / 4``, and one for the share of odd words, which tells more, at
+   ``1 - 3 * reject / 4``; so about ``reject`` of trusted documents are over one of them. Perplexities are drawn towards the language's median as if ``prior`` more
+   characters had it, and shares towards 0 by ``WORDS`` words, so that a short document isn't rejected for a few
+   rare letters.
 
 Cases: null and empty texts have no perplexity and are kept, as is everything without trusted text in its
-language; a null language is a language of its own; so are, together, all but the ``LANGS - 2`` most frequent ones;
-of repeated or contradicting labels of a document, all must trust it; null ids are never trusted;
-repeated rows count as often as they occur; other columns pass through.
+language; a null language is a language of its own; a very long text is a chunk of its own, never cut; of repeated or
+contradicting labels of a document, all must trust it; null ids are never trusted; documents that tie with a limit are
+kept; repeated rows count as often as they occur; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,164 +34,174 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, bound_batches
 
-SYMBOLS, ORDER, LANGS = 64, 4, 16
-CELLS = SYMBOLS**ORDER
-STEP = 1 / 16  # nats for each unit of the byte that a probability is stored in
-FLUSH = 4_000_000  # characters that a task counts at once
+ORDER, FOLDS, CHUNK, MOST_LABELS = 5, 3, 1 << 21, 2_000_000
 WORDS = 100  # words without surprise that each document is given
 LEVELS = 8  # of a word's surprise, for each nat
+BLANK, BREAK, DIGIT = 32, 10, 48
+PACKED = "chunk long, lang string, ids array<string>, keys array<long>, folds array<int>, sizes array<int>, texts binary"
+GRAMS = "chunk long, lang string, gram string, n long"
+SCORED = "lang string, id string, key long, fold int, chars long, nats double, words long, levels array<long>"
 
 
 @functools.lru_cache(1)
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point; 0 stands before a text."""
-    table = np.full(0x110000, 62, np.uint32)
+    """Symbol of each code point: itself, but for digits and white space; 0 stands before a text and for nothing else."""
+    table = np.arange(0x110000, dtype=np.uint32)
     for i in range(0x110000):
-        kind = unicodedata.category(chr(i))
-        if kind[0] in "LM":
-            table[i] = 57 if kind == "Lu" else 58
-        elif kind[0] == "N":
-            table[i] = 3
-        elif kind[0] == "Z":
-            table[i] = 1
-        elif kind[0] == "S":
-            table[i] = 61
-    for a, base in (("a", 4), ("A", 30)):
-        for i in range(26):
-            table[ord(a) + i] = base + i
-    for group, symbol in (("\t\x0b\x0c ", 1), ("\n\r", 2), (".,;:?", 56), ("'\"-()", 59), ("!", 60), ("#$%&*+/<=>@\\^_`{|}~[]", 61)):
-        for c in group:
-            table[ord(c)] = symbol
+        kind = unicodedata.category(chr(i))[0]
+        if kind in "NZ":
+            table[i] = DIGIT if kind == "N" else BLANK
+    table[[0, 9, 11, 12]] = BLANK
+    table[13] = BREAK
     return table
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """4-grams of all characters of all texts, and each text's number of characters."""
-    raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) // 4 for r in raw], np.int64)
-    before = b"\0" * 4 * (ORDER - 1)
-    symbols = symbol_table()[np.frombuffer(before + before.join(raw), "<u4")]
-    starts = np.cumsum(sizes + ORDER - 1) - sizes
-    keep = np.zeros(len(symbols) + 1, np.int8)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, starts + sizes, -1)
-    keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
-    for start in starts[sizes > 0]:
-        symbols[start - ORDER + 1 : start] = 0
-    out = symbols.copy()
-    for k in range(1, ORDER):
-        out[k:] |= symbols[:-k] << np.uint32(6 * k)
-    return out[keep], sizes
+def symbols(text: str) -> np.ndarray:
+    return symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
-def surprises(grams: np.ndarray, bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def grams(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """For each symbol of all texts, the number of its n-gram, which ends with it; and the n-grams by number."""
+    pad, total = ORDER - 1, len(own)
+    if not total:
+        return np.zeros(0, np.int64), []
+    at = np.arange(total) + pad * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    row = np.zeros(total + pad * len(sizes), np.uint32)
+    row[at] = own
+    alphabet = np.flatnonzero(np.bincount(row))
+    number = np.zeros(alphabet[-1] + 1, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    single = number[row]
+    code, width = single, len(alphabet)
+    for k in range(1, ORDER):
+        if width * len(alphabet) >= 1 << 62:
+            code, distinct = pd.factorize(code)
+            width = len(distinct)
+        code = code.copy()
+        code[k:] += single[:-k] * width
+        width *= len(alphabet)
+    code, distinct = pd.factorize(code[at])
+    first = np.zeros(len(distinct), np.int64)
+    first[code[::-1]] = at[::-1]
+    text = row[first[:, None] + np.arange(-pad, 1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return code, [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+
+
+def surprises(own: np.ndarray, nats: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Each text's number of words, and its words by level of surprise: ``level << 32 | words``."""
-    last = grams & np.uint32(SYMBOLS - 1)
-    blank, ends = (last == 1) | (last == 2), np.cumsum(sizes)
-    first = np.concatenate([[True], blank[:-1]]) if len(last) else np.zeros(0, bool)
+    blank, ends = (own == BLANK) | (own == BREAK), np.cumsum(sizes)
+    first = np.concatenate([[True], blank[:-1]]) if len(own) else np.zeros(0, bool)
     first[(ends - sizes)[sizes > 0]] = True  # white space ends a word, as does the end of a text
     at = np.flatnonzero(first)
-    length = np.diff(np.append(at, len(last)))
-    level = np.add.reduceat(bits, at, dtype=np.int64) * (STEP * LEVELS) // length if len(at) else np.zeros(0)
+    length = np.diff(np.append(at, len(own)))
+    level = (np.add.reduceat(nats, at) * LEVELS / length).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     letters = np.add.reduceat(~blank, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)[at]
-    own = letters > 0  # further white space is no word
-    pair, n = np.unique(owner[own] << 32 | level[own].astype(np.int64), return_counts=True)
+    kept = letters > 0  # further white space is no word
+    pair, n = np.unique(owner[kept] << 32 | level[kept], return_counts=True)
     cuts = np.searchsorted(pair >> 32, np.arange(1, len(sizes)))
-    return np.bincount(owner[own], minlength=len(sizes)), np.split((pair & 0xFFFFFFFF) << 32 | n, cuts)
+    return np.bincount(owner[kept], minlength=len(sizes)), np.split((pair & 0xFFFFFFFF) << 32 | n, cuts)
 
 
-def languages(docs: DataFrame) -> dict[str | None, int]:
-    """Number of each language, 0 for null; the rest share the last number."""
-    found = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS - 2).collect()
-    return {None: 0} | {r["lang"]: i + 1 for i, r in enumerate(found)}
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``_id`` of documents that all their labels trust (of good quality and not toxic), and ``_fold``: 1 to train, 2 held out."""
+    good = F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))
+    ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(good.cast("int")).alias("_trusted"))
+    fold = F.when(F.pmod(F.xxhash64("_id"), F.lit(FOLDS)) == 0, 2).otherwise(1)
+    return ids.where("_trusted = 1").select("_id", fold.alias("_fold"))
 
 
-def lang_number(langs: dict[str | None, int], lang: Column) -> Column:
-    out = F.when(lang.isNull(), F.lit(0))
-    for name, i in langs.items():
-        if name is not None:
-            out = out.when(lang == name, F.lit(i))
-    return out.otherwise(F.lit(LANGS - 1)).cast("int")
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    task, made, open_, size = TaskContext.get().partitionId() << 32, 0, {}, {}
 
+    def close(lang: str) -> pd.DataFrame:
+        nonlocal made
+        ids, keys, folds, texts = zip(*open_.pop(lang), strict=True)
+        size.pop(lang)
+        made += 1
+        data = zstandard.ZstdCompressor(level=3).compress("".join(texts).encode("utf-8", "surrogatepass"))
+        return pd.DataFrame({"chunk": [task | made], "lang": np.array([lang], object), "ids": [list(ids)], "keys": [list(keys)], "folds": [list(folds)], "sizes": [[len(t) for t in texts]], "texts": [data]})
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Documents that all their labels trust: of good quality and not toxic."""
-    good = F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))
-    ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(good.cast("int")).alias("_trusted"))
-    return ids.where("_trusted = 1")
+    for batch in batches:
+        for lang, *row, text in zip(*[batch[c] for c in ("lang", "id", "key", "fold", "text")], strict=True):
+            open_.setdefault(lang, []).append((*row, text))
+            size[lang] = size.get(lang, 0) + len(text) + 16
+            if size[lang] >= CHUNK:
+                yield close(lang)
+            elif sum(size.values()) >= 2 * CHUNK:
+                yield close(max(size, key=size.get))
+    for lang in list(open_):
+        yield close(lang)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def flush(parts: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
-        keys = [np.concatenate([g for g, t in parts if t == trust] or [np.zeros(0, np.uint32)]) for trust in (0, 1)]
-        rest, (own, n) = np.unique(keys[0]), np.unique(keys[1], return_counts=True)
-        return pd.DataFrame({"gram": np.concatenate([own, rest]).astype(np.int32), "n": np.concatenate([n, np.zeros(len(rest), np.int64)])})
+def pack(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+    """``PACKED`` chunks of all documents; null texts are empty. ``lang`` is a key: empty for null, else after an ``=``."""
+    ids = ws.write(trusted_ids(labels), "trusted")
+    ids = F.broadcast(ids) if ids.count() <= MOST_LABELS else ids.hint("merge")
+    rows = keyed(docs).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = rows.join(ids, F.col("_key_id") == F.col("_id"), "left")
+    rows = rows.select(F.col("_key_lang").alias("lang"), F.col("_key_id").cast("string").alias("id"), F.col("_key_text").alias("key"), F.coalesce("_fold", F.lit(0)).alias("fold"), "text")
+    return ws.write(rows.mapInPandas(_pack, PACKED), "chunks")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the three parts of a key by which its scores are found."""
+    text, lang = F.coalesce(docs["text"].cast("string"), F.lit("")), docs["lang"].cast("string")
+    return docs.withColumns({"_key_id": docs["doc_id"].cast("long"), "_key_text": F.xxhash64(text), "_key_lang": F.coalesce(F.concat(F.lit("="), lang), F.lit(""))})
+
+
+def _unpack(texts: bytes) -> np.ndarray:
+    return symbols(zstandard.ZstdDecompressor().decompress(texts).decode("utf-8", "surrogatepass"))
+
 
-    parts, size = [], 0
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        trust = batch["trusted"].to_numpy()
-        for t in (0, 1):
-            own = batch[trust == t]
-            for at in range(0, len(own), 256):
-                some = own.iloc[at : at + 256]
-                g, sizes = grams(some["text"].tolist())
-                parts.append((g | np.repeat(some["lang"].to_numpy().astype(np.uint32) << 24, sizes), t))
-                size += len(g)
-                if size >= FLUSH:
-                    yield flush(parts)
-                    parts, size = [], 0
-    if parts:
-        yield flush(parts)
-
-
-def gram_counts(docs: DataFrame, labels: DataFrame, langs: dict[str | None, int]) -> DataFrame:
-    """``lang, gram, n``: of all 4-grams of the corpus, how often trusted text has them."""
-    ids = trusted_ids(labels)
-    rows = docs.where("text IS NOT NULL").select("doc_id", lang_number(langs, F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text"))
-    # labels grow with the corpus: never broadcast, however small they are here
-    rows = rows.join(ids.hint("merge"), rows["doc_id"] == ids["_id"], "left").select("lang", "text", F.coalesce("_trusted", F.lit(0)).alias("trusted"))
-    counts = rows.mapInPandas(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return counts.select(F.shiftright("gram", 24).alias("lang"), (F.col("gram").bitwiseAND(CELLS - 1)).alias("gram"), "n")
+        for chunk, lang, folds, sizes, texts in zip(*[batch[c] for c in ("chunk", "lang", "folds", "sizes", "texts")], strict=True):
+            code, names = grams(_unpack(texts), np.asarray(sizes))
+            own = np.repeat(np.asarray(folds) == 1, sizes)
+            if names:
+                yield pd.DataFrame({"chunk": chunk, "lang": np.full(len(names), lang, object), "gram": np.array(names, object), "n": np.bincount(code[own], minlength=len(names))})
 
 
 def probabilities(counts: DataFrame, ws: Workspace) -> DataFrame:
-    """``lang, gram, p``: interpolated modified Kneser-Ney probability of each row's last character after the others.
+    """``lang, gram, p``: interpolated modified Kneser-Ney probability of each row's last symbol after the others.
 
-    The tables of each order are written, so that each join is planned by itself and with true sizes.
+    Of ``counts`` (``lang, gram, n``) those with an ``n`` of 0 were not seen in training. Below the lowest order each of the
+    symbols that a language's documents have is as probable. The tables of each order are written, so that each join
+    is planned by itself and with true sizes.
     """
     need, seen = {ORDER: counts.select("lang", "gram")}, {ORDER: counts.where("n > 0")}
     for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(SYMBOLS**k - 1).alias("gram")
-        # of each n-gram of the corpus, n is the number of its left extensions in trusted text
-        left = ws.write(counts.groupBy("lang", suffix).agg(F.count_if(F.col("n") > 0).alias("n")), f"counts-{k}")
+        # of each n-gram of the corpus, n is the number of its left extensions in text of training
+        left = ws.write(counts.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")), f"counts-{k}")
         counts, need[k], seen[k] = left, left.select("lang", "gram"), left.where("n > 0")
     lower = None
     for k in range(1, ORDER + 1):
-        own = seen[k]
+        own, context = seen[k], F.substring("gram", 1, k - 1).alias("context")
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         cut = [F.greatest(F.coalesce(F.try_divide(F.lit(-(i + 1.0)) * y * F.col(f"n{i + 1}"), F.col(f"n{i}")) + i, F.lit(0.5 * i)), F.lit(0.0)).alias(f"d{i}") for i in (1, 2, 3)]
         exact = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        cuts = own.groupBy("lang").agg(*exact).withColumn("n1", F.greatest("n1", F.lit(1.0))).select("lang", *cut)
+        cuts = ws.write(own.groupBy("lang").agg(*exact).withColumn("n1", F.greatest("n1", F.lit(1.0))).select("lang", *cut), f"cuts-{k}")
         kinds = [F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") >= 3).alias("k3")]
-        totals = own.groupBy("lang", F.shiftright("gram", 6).alias("context")).agg(F.sum("n").alias("total"), *kinds)
-        totals = totals.join(F.broadcast(cuts), "lang")  # a row for each of LANGS languages at most
+        totals = own.groupBy("lang", context).agg(F.sum("n").alias("total"), *kinds).join(cuts, "lang")
         rest = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
         totals = totals.select("lang", "context", "total", "d1", "d2", "d3", rest.alias("rest"))
-        rows = need[k].withColumn("context", F.shiftright("gram", 6)).join(own, ["lang", "gram"], "left").join(totals, ["lang", "context"], "left")
+        rows = need[k].withColumn("context", context).join(own, ["lang", "gram"], "left").join(totals, ["lang", "context"], "left")
         if lower is None:
-            rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
+            rows = rows.join(ws.write(need[1].groupBy("lang").agg((1 / F.count(F.lit(1))).alias("lower")), "uniform"), "lang")
         else:
-            rows = rows.withColumn("_suffix", F.col("gram").bitwiseAND(SYMBOLS ** (k - 1) - 1))
+            rows = rows.withColumn("_suffix", F.substring("gram", 2, k - 1))
             rows = rows.join(lower.select("lang", F.col("gram").alias("_suffix"), F.col("p").alias("lower")), ["lang", "_suffix"])
         n = F.coalesce("n", F.lit(0))
         d = F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -196,131 +210,78 @@ def probabilities(counts: DataFrame, ws: Workspace) -> DataFrame:
     return lower
 
 
-@dataclass
-class Model:
-    """``keys``: ``lang << 24 | gram``, with ``bits``: -log p in units of ``STEP``. By language number: ``medians`` and ``limits``
-    of the perplexity (as nats), the highest ``levels`` of words that aren't odd, and ``shares``, the limits of odd words."""
-
-    langs: dict[str | None, int]
-    keys: np.ndarray
-    bits: np.ndarray
-    medians: dict[int, float]
-    limits: dict[int, float]
-    levels: dict[int, int]
-    shares: dict[int, float]
-    prior: float
-
-    def table(self) -> np.ndarray:
-        """Row by language number; a language without trusted text has none."""
-        out = np.full((max([-1, *(self.keys >> 24)]) + 1, CELLS), 255, np.uint8)
-        out[self.keys >> 24, self.keys & (CELLS - 1)] = self.bits
-        return out
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``_row``, a struct of the columns of ``docs``, with ``_lang`` (number), ``_chars``, ``_nats``, the summed -log p, null where no model judges, ``_words`` and ``_levels``, see ``surprises``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.bits))
-
-    @F.pandas_udf("chars long, nats double, words long, levels array<long>")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        keys, bits = shared.value
-        table = Model({}, keys, bits, {}, {}, {}, {}, 0).table()
-        known = set(np.unique(keys >> 24).tolist())
-        for texts, langs in batches:
-            chars, nats = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
-            words, levels = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)] * len(texts)
-            langs = langs.to_numpy()
-            for lang in np.unique(langs):
-                own = np.flatnonzero(langs == lang)
-                for some in np.array_split(own, -(-len(own) // 256)):
-                    g, sizes = grams([texts.iloc[i] or "" for i in some])
-                    chars[some] = sizes
-                    if lang in known and len(g):
-                        cost = table[lang][g]
-                        sums = np.concatenate([[0], np.cumsum(cost, dtype=np.int64)])
-                        ends = np.cumsum(sizes)
-                        nats[some] = np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) * STEP, np.nan)
-                        words[some], found = surprises(g, cost, sizes)
-                        for i, x in zip(some, found, strict=True):
-                            levels[i] = x
-            yield pd.DataFrame({"chars": chars, "nats": nats, "words": words, "levels": levels})
-
-    lang = lang_number(model.langs, F.col("_row.lang"))
-    out = docs.select(F.struct("*").alias("_row")).withColumn("_lang", lang).withColumn("_s", judge(F.col("_row.text").cast("string"), F.col("_lang")))
-    nats = F.when(F.isnan("_s.nats"), None).otherwise(F.col("_s.nats"))
-    return out.withColumns({"_chars": F.col("_s.chars"), "_nats": nats, "_words": F.col("_s.words"), "_levels": F.col("_s.levels")}).drop("_s")
-
-
-def _by_lang(values: dict[int, float], lang: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for i, v in values.items():
-        out = F.when(lang == i, F.lit(float(v))).otherwise(out)
-    return out
-
-
-def _drawn(model: Model) -> Column:
-    """Nats a character, drawn towards the language's median."""
-    return (F.col("_nats") + model.prior * _by_lang(model.medians, F.col("_lang"))) / (F.col("_chars") + model.prior)
-
-
-def _odd(model: Model) -> Column:
-    """Share of odd words, drawn towards 0."""
-    over = F.filter("_levels", lambda x: F.shiftright(x, 32) > _by_lang(model.levels, F.col("_lang")))
-    return F.aggregate(over, F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(0xFFFFFFFF)) / (F.col("_words") + WORDS)
-
-
-def _kept(model: Model) -> Column:
-    """Within both limits, or without a model."""
-    usual = (_drawn(model) <= _by_lang(model.limits, F.col("_lang"))) & (_odd(model) <= _by_lang(model.shares, F.col("_lang")))
-    return F.coalesce(usual, F.lit(True))
-
-
-def fit(docs: DataFrame, labels: DataFrame, reject: float = 0.01, prior: float = 40.0, rare: float = 0.001) -> Model:
-    """Trains on all trusted text and sets thresholds on all trusted documents."""
-    ws = Workspace(docs.sparkSession, "quality")
+def _judge(model: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the documents of a chunk by ``gram, nats`` of its n-grams; without any, no model judges them."""
+    parts = []
+    for lang, ids, keys, folds, sizes, texts in zip(*[packed[c] for c in ("lang", "ids", "keys", "folds", "sizes", "texts")], strict=True):
+        sizes, own = np.asarray(sizes, np.int64), _unpack(texts)
+        nats, words, levels = np.full(len(sizes), np.nan), np.zeros(len(sizes), np.int64), [np.zeros(0, np.int64)] * len(sizes)
+        if len(model) and len(own):
+            code, names = grams(own, sizes)
+            cost = pd.Series(model["nats"].to_numpy(), index=model["gram"]).reindex(names).to_numpy()[code]
+            sums, ends = np.concatenate([[0], np.cumsum(cost)]), np.cumsum(sizes)
+            nats = np.where(sizes > 0, sums[ends] - sums[ends - sizes], np.nan)
+            words, levels = surprises(own, cost, sizes)
+        parts.append(pd.DataFrame({"lang": np.full(len(sizes), lang, object), "id": np.array(ids, object), "key": keys, "fold": folds, "chars": sizes, "nats": nats, "words": words, "levels": levels}))
+    return pd.concat(parts)
+
+
+def score(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+    """``SCORED`` for each document: ``nats`` is the summed -log p, null where no model judges; ``levels``, see ``surprises``."""
     bound_batches(docs.sparkSession)
-    langs = languages(docs)
-    counts = ws.write(gram_counts(docs, labels, langs), "counts")
-    p = probabilities(counts, ws).join(F.broadcast(counts.where("n > 0").select("lang").distinct()), "lang", "left_semi")  # LANGS rows at most
-    bits = F.least(F.round(-F.log("p") / STEP), F.lit(254.0)).cast("int")
-    table = p.select((F.shiftleft("lang", 24) + F.col("gram")).cast("int").alias("key"), bits.alias("bits")).toPandas()
-    model = Model(langs, table["key"].to_numpy(np.uint32), table["bits"].to_numpy(np.uint8), {}, {}, {}, {}, prior)
-    ids = trusted_ids(labels)
-    scored = score(docs.select("doc_id", "text", "lang"), model).where("_nats IS NOT NULL").select("_row.doc_id", "_lang", "_chars", "_nats", "_words", "_levels")
-    scored = ws.write(scored.join(ids, scored["doc_id"] == ids["_id"], "left_semi"), "trusted")
-    median = scored.groupBy("_lang").agg(F.percentile_approx(F.col("_nats") / F.col("_chars"), 0.5, 100_000).alias("m")).collect()
-    model.medians = {r["_lang"]: r["m"] for r in median}
+    chunks = pack(docs, labels, ws)
+    found = ws.write(chunks.select("chunk", "lang", "folds", "sizes", "texts").mapInPandas(_count, GRAMS), "grams")
+    p = probabilities(ws.write(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts"), ws)
+    trained = ws.write(found.where("n > 0").select("lang").distinct(), "trained")
+    p = p.join(trained, "lang", "left_semi").select("lang", "gram", (-F.log("p")).alias("nats"))
+    model = found.select("chunk", "lang", "gram").join(p, ["lang", "gram"]).select("chunk", "gram", "nats")
+    scored = model.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInPandas(_judge, SCORED)
+    return ws.write(scored.withColumn("nats", F.when(~F.isnan("nats"), F.col("nats"))), "scored")
+
+
+def _of_fold(value: Column, name: str, how) -> list[Column]:
+    """An aggregate of held-out documents, and one of those of training for languages without any."""
+    return [how(F.when(F.col("fold") == f, value)).alias(f"{name}{f}") for f in (2, 1)]
+
+
+def judge(docs: DataFrame, labels: DataFrame, ws: Workspace, reject: float = 0.01, prior: float = 40.0, rare: float = 0.001) -> DataFrame:
+    """Per document ``id, key, lang`` (see ``pack``), ``perplexity`` of a character, ``drawn_perplexity``, ``odd_share``, ``limit``, ``odd_limit`` and ``kept``."""
+    scored = score(docs, labels, ws)
+    trusted = scored.where("fold > 0 AND nats IS NOT NULL")
+    middle = trusted.groupBy("lang").agg(*_of_fold(F.col("nats") / F.col("chars"), "m", lambda c: F.percentile_approx(c, 0.5, 100_000))).select("lang", F.coalesce("m2", "m1").alias("median"))
     level, n = F.shiftright("_level", 32).cast("int"), F.col("_level").bitwiseAND(0xFFFFFFFF)
-    found = scored.select("_lang", F.explode("_levels").alias("_level")).groupBy("_lang", level.alias("level")).agg(F.sum(n).alias("n")).collect()
-    for lang in {r["_lang"] for r in found}:  # some 130 levels a language
-        own = sorted((r["level"], r["n"]) for r in found if r["_lang"] == lang)
-        total, at = sum(n for _, n in own), 0
-        for x, n in own:
-            at += n
-            if at >= (1 - rare) * total:
-                model.levels[lang] = x
-                break
-    high = scored.groupBy("_lang").agg(*[F.percentile_approx(c, 1 - reject / 2, 100_000).alias(q) for c, q in ((_drawn(model), "q"), (_odd(model), "o"))]).collect()
-    model.limits, model.shares = {r["_lang"]: r["q"] for r in high}, {r["_lang"]: r["o"] for r in high}
-    ws.drop("counts", "trusted", *[f"{name}-{k}" for name in ("counts", "probabilities") for k in range(1, ORDER + 1)])
-    return model
-
-
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``perplexity`` of a character, ``limit`` (as a perplexity) and ``kept``."""
-    rows = score(docs, model)
-    limit = _by_lang(model.limits, F.col("_lang"))
-    added = {"perplexity": F.exp(F.col("_nats") / F.col("_chars")), "drawn_perplexity": F.exp(_drawn(model)), "limit": F.exp(limit), "kept": _kept(model)}
-    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    words = trusted.select("lang", "fold", F.explode("levels").alias("_level")).groupBy("lang", "fold", level.alias("level")).agg(F.sum(n).alias("n"))
+    own = Window.partitionBy("lang", "fold")  # some hundred levels
+    words = words.withColumn("total", F.sum("n").over(own)).withColumn("below", F.sum("n").over(own.orderBy("level")))
+    words = words.where(F.col("below") >= (1 - rare) * F.col("total")).groupBy("lang").agg(*_of_fold(F.col("level"), "l", F.min)).select("lang", F.coalesce("l2", "l1").alias("odd"))
+    bounds = ws.write(middle.join(words, "lang", "left"), "bounds")
+    over = F.filter("levels", lambda x: F.shiftright(x, 32) > F.col("odd"))
+    share = F.aggregate(over, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(0xFFFFFFFF)) / (F.col("words") + WORDS)
+    drawn = (F.col("nats") + prior * F.col("median")) / (F.col("chars") + prior)
+    rows = scored.join(bounds, "lang", "left").select("id", "key", "lang", "fold", "nats", "chars", drawn.alias("drawn"), share.alias("share"))
+    quantile = lambda part: lambda c: F.percentile_approx(c, 1 - part * reject, 100_000)
+    high = rows.where("fold > 0 AND nats IS NOT NULL").groupBy("lang").agg(*_of_fold(F.col("drawn"), "q", quantile(1 / 4)), *_of_fold(F.col("share"), "o", quantile(3 / 4)))
+    high = ws.write(high.select("lang", F.coalesce("q2", "q1").alias("limit"), F.coalesce("o2", "o1").alias("odd_limit")), "limits")
+    rows = rows.join(high, "lang", "left")
+    kept = F.coalesce((F.col("drawn") <= F.col("limit")) & (F.coalesce("share", F.lit(0.0)) <= F.coalesce("odd_limit", F.lit(1.0))), F.lit(True))
+    return rows.select("id", "key", "lang", F.exp(F.col("nats") / F.col("chars")).alias("perplexity"), F.exp("drawn").alias("drawn_perplexity"), F.col("share").alias("odd_share"), F.exp("limit").alias("limit"), "odd_limit", kept.alias("kept"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """``doc_id, lang, perplexity, drawn_perplexity, limit, kept`` for each document."""
-    docs = docs.select("doc_id", "text", "lang")
-    return judge(docs, fit(docs, labels, **params)).drop("text")
+    """``doc_id, lang, perplexity, drawn_perplexity, odd_share, limit, odd_limit, kept`` for each document."""
+    ws = Workspace(docs.sparkSession, "quality")
+    found = judge(docs.select("doc_id", "text", "lang"), labels, ws, **params)
+    lang = F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30))
+    out = ws.write(found.withColumns({"doc_id": F.col("id").cast(docs.schema["doc_id"].dataType), "lang": lang}).select("doc_id", "lang", "perplexity", "drawn_perplexity", "odd_share", "limit", "odd_limit", "kept"), "report")
+    ws.keep("report")
+    return out
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that are kept, with their columns."""
-    model = fit(docs.select("doc_id", "text", "lang"), labels, **params)
-    return score(docs, model).where(_kept(model)).select("_row.*")
+    ws = Workspace(docs.sparkSession, "quality")
+    found = judge(docs.select("doc_id", "text", "lang"), labels, ws, **params).where("kept")
+    kept = ws.write(found.select(F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).alias("_key_id"), F.col("key").alias("_key_text"), F.col("lang").alias("_key_lang")).distinct(), "kept")
+    ws.keep("kept")
+    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang")).withColumn("_key_id", F.coalesce("_key_id", F.lit(-(1 << 63))))
+    return rows.join(kept.hint("merge"), ["_key_id", "_key_text", "_key_lang"], "left_semi").select("_row.*")
