@@ -38,6 +38,30 @@ def test_against_brute_force(spark, params):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), **params) == brute_force(rows, 35)
 
 
+def test_hot_anchors_in_many_ranges(spark, monkeypatch):
+    """A line in a third of all documents, with 35-word windows of its own in each: rows sent grow with the input."""
+    monkeypatch.setattr(S, "RANGE", 200)
+    sent = []
+    for n in (150, 300):
+        rng = random.Random(17)
+        line = sentence(rng, 12)
+        rows = [(i, " ".join([sentence(rng, 30), line, sentence(rng, 30)]) if i % 3 == 0 else sentence(rng, 60)) for i in range(n)]
+        rows += [(n + i, rows[3 * i][1]) for i in range(20)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(df, hot=5) == brute_force(rows, 35)
+        ws = S.Workspace(spark, "t")
+        S.find_repeats(df, ws, hot=5)
+        sent.append(spark.read.parquet(ws.path("hot")).count())
+    assert sent[1] <= 2 * sent[0] <= 10  # batches, each of which sends a row to a range at most
+
+
+def test_window_digests():
+    ids = S.word_ids(S.split_words("a b c d e a b c d f a b c"))
+    d = S.window_digests(ids, 3)
+    assert len(d) == 11 and (d[0] == d[5]).all() and (d[0] == d[10]).all() and (d[1] == d[6]).all() and len({tuple(x) for x in d.tolist()}) == 8
+    assert S.window_digests(ids[:2], 3).shape == (0, 2)
+
+
 @pytest.mark.parametrize("window", [10, 50])
 def test_other_windows(spark, window):
     rng = random.Random(12)
@@ -91,4 +115,4 @@ def test_automaton_counts():
     for words, _ in sequences:
         for end, n in automaton.matches(words, 2):
             assert n == max((k for k in range(1, end + 1) if count[tuple(words[end - k : end])] >= 2), default=0)
-    assert S.unpack(S.pack(S.word_ids([b"a", b"b"]))) == [x & (1 << 40) - 1 for x in S.word_ids([b"a", b"b"]).tolist()]
+    assert S.unpack(S.pack(S.word_ids([b"a", b"b"]))) == [x & (1 << 63) - 1 for x in S.word_ids([b"a", b"b"]).tolist()]

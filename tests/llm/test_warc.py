@@ -30,7 +30,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("params", [{}, {"segment_bytes": 1000, "chunk_bytes": 7777, "records_per_file": 5}])
+@pytest.mark.parametrize("params", [{}, {"segment_bytes": 1000, "chunk_bytes": 7777, "file_bytes": 10_000}])
 def test_round_trip(spark, params):
     df = spark.createDataFrame(ROWS, PAGES).withColumns({"record": F.lit(1), "refers_to": F.lit(2)})
     got = warc.round_trip(df, **params)
@@ -54,6 +54,23 @@ def test_payloads_and_segments(spark):
         warc.decode_payloads(warc.reassemble(short)).collect()
 
 
+def test_references_name_records(spark):
+    ws = Workspace(spark, "t")
+    warc.write_archives(spark.createDataFrame(ROWS, PAGES), ws.path("a"), ws)
+    found = {}
+    for r in spark.read.format("binaryFile").load(ws.path("a")).collect():
+        for headers, _ in warc.parse(bytes(r["content"])):
+            assert headers["warc-record-id"] not in found
+            found[headers["warc-record-id"]] = headers
+    revisits = [h for h in found.values() if h["warc-type"] == "revisit"]
+    named = [h for h in revisits if "warc-refers-to" in h]
+    assert len(revisits) > len(named) >= 3  # page 9 is there twice
+    for h in named:
+        to = found[h["warc-refers-to"]]
+        assert (to["warc-type"], to["x-page-id"], to["warc-payload-digest"]) == ("response", h["x-refers-to-page"], h["warc-payload-digest"])
+    assert {h["x-refers-to-page"] for h in revisits if "warc-refers-to" not in h} == {"9"}
+
+
 def test_framing():
     for size in (1, 3, 1000):
         assert warc.dechunked(warc.chunked(b"hello world", size)) == b"hello world"

@@ -377,3 +377,16 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.struct("*").alias("_row"), *key)
     kept = kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     return rows.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
+
+
+#: DuckDB SQL for the rows of ``near_report`` over ``documents`` with three words and 85 %.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      WHERE 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+c AS (SELECT doc_id, doc_id AS least FROM documents UNION SELECT e.b, c.least FROM c JOIN e ON c.doc_id = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(c.least) AS component_id, d.doc_id = min(c.least) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""

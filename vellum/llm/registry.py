@@ -54,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_sharding": op7_sharding, "op8_near_dedup": op8_near_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_decontamination": op10_decontamination}
-ORACLES |= {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES |= {"op1_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op8_near_dedup": near_dedup.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}

@@ -15,17 +15,21 @@ be streamed against each of them (that is quadratic). Both are routed instead, w
    over its distinct contexts, with the number of occurrences of each state; the contexts are streamed through it
    for matching statistics over states that occur twice, and matches of ``window`` words give maximal spans.
 4. *Hot anchors*, more than ``hot`` occurrences, would make an automaton without bound. Their windows are
-   counted instead, by 64-bit digests that are sent to ranges of the digest, packed by batch.
+   counted instead, by 128-bit digests. Contexts are packed in batches of about ``BATCH`` words; a batch sends its
+   digests to ranges of the digest, in one row for each range that it has any for, and gets back which of its windows
+   repeat. So a row stands for many windows, no row or task holds an anchor, and an anchor that a third of all
+   documents share is spread evenly. A batch sends ``MOST_RANGES`` rows at most: rows grow with the input.
 5. Spans go back to their documents, and the words outside them are kept.
 
 ``remove_reference_spans`` is the plain form for a bounded reference table: automata of its shards are
 broadcast, one after another, and documents are streamed through each.
 
-Words are compared by 40 bits of their hash within contexts: two windows are taken for equal wrongly only if they
-differ in words that all collide at the same place.
+Words are compared by 64 bits of their hash: two windows are taken for equal wrongly only if they differ in words
+that all collide at the same place, or, of hot anchors, if 128 bits collide.
 
 Cases: null and empty texts have no words and keep the digest of the empty string; documents shorter than
-a window keep all; rows repeated in full count as occurrences each, and lose what they share;
+a window keep all; a very long text has as many contexts as it needs, none longer than two windows and a gram unless
+its words repeat; ties of the smallest hash within a window go to the first; rows repeated in full count as occurrences each, and lose what they share;
 null ids are kept apart by text; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -37,12 +41,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, bound_batches
 
-ID_BYTES = 5
+BATCH, RANGE, MOST_RANGES = 1_000_000, 2_000_000, 1 << 16  # words of a packed batch; windows of a range; ranges
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,13 +95,23 @@ def contexts(ids: np.ndarray, window: int, gram: int) -> list[tuple[int, int, in
 
 
 def pack(ids: np.ndarray) -> bytes:
-    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ID_BYTES].tobytes()
+    return ids.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> list[int]:
-    out = np.zeros((len(data) // ID_BYTES, 8), np.uint8)
-    out[:, :ID_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ID_BYTES)
-    return out.view("<u8").ravel().tolist()
+    return (np.frombuffer(data, "<u8") & np.uint64((1 << 63) - 1)).tolist()
+
+
+def window_digests(ids: np.ndarray, window: int) -> np.ndarray:
+    """128 bits, as two columns, for each window start."""
+    n = max(0, len(ids) - window + 1)
+    out = np.empty((n, 2), np.uint64)
+    for column, seed in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+        h = np.full(n, seed, np.uint64)
+        for k in range(window):
+            h = mixed(h * MIX + ids[k : k + n])
+        out[:, column] = h
+    return out
 
 
 class WordAutomaton:
@@ -251,77 +266,100 @@ def find_repeats(docs: DataFrame, ws: Workspace, window: int = 35, gram: int = 8
                         shard, size = [], 0
                     shard.append((anchor, []))
                 shard[-1][1].append((context, k1, k2, starts.tolist(), n))
-                size += len(context) // ID_BYTES
+                size += len(context) // 8
         if shard:
             yield flush()
 
     cold = cuts.where("NOT hot").select("anchor", "context", "k1", "k2", "starts", "n").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(match, SPAN)
-    warm = _hot_spans(cuts.where("hot").select("anchor", "context", "k1", "k2", "starts", "n"), ws, window)
+    warm = _hot_spans(cuts.where("hot").select("context", "k1", "k2", "starts", "n"), ws, window)
     return cold.unionByName(warm)
 
 
-def _digests_of(context: bytes, window: int) -> list[int]:
-    """Digests of the windows of a packed context."""
-    return [xxhash.xxh3_64_intdigest(context[i : i + window * ID_BYTES]) for i in range(0, len(context) - window * ID_BYTES + 1, ID_BYTES)]
+PACKED = "batch long, k1 array<long>, k2 array<long>, starts array<array<int>>, n array<int>, sizes array<int>, words binary"
 
 
-def _hot_spans(cuts: DataFrame, ws: Workspace, window: int) -> DataFrame:
-    """Spans of the contexts of hot anchors, whose windows are counted by digest, packed in arrays.
+def _pack_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    task, made, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
-    A batch sends its digests to ``ranges`` of the digest, in one row for each; a range counts what all batches have
-    sent it. So an anchor that a third of all documents share is spread evenly, and rows stay few.
-    """
-    total = cuts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0] // ID_BYTES
-    ranges = 1 + total // 2_000_000
+    def close() -> pd.DataFrame:
+        contexts, k1, k2, starts, n = zip(*rows, strict=True)
+        return pd.DataFrame({"batch": [task | made], "k1": [list(k1)], "k2": [list(k2)], "starts": [[x.tolist() for x in starts]], "n": [list(n)], "sizes": [[len(c) // 8 for c in contexts]], "words": [b"".join(contexts)]})
+
+    for batch in batches:
+        for row in zip(*[batch[c] for c in ("context", "k1", "k2", "starts", "n")], strict=True):
+            rows.append(row)
+            size += len(row[0]) // 8
+            if size >= BATCH:
+                made += 1
+                yield close()
+                rows, size = [], 0
+    if rows:
+        made += 1
+        yield close()
+
+
+def _hot_spans(cuts: DataFrame, ws: Workspace, window: int) -> DataFrame:
+    """Spans of the contexts of hot anchors: windows that repeat are found by counting digests in ranges."""
+    total = cuts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0] // 8
+    ranges = min(MOST_RANGES, 1 + total // RANGE)
+    packed = ws.write(cuts.mapInPandas(_pack_contexts, PACKED), "hot")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pairs = [(d, a) for a, c, n in zip(batch["anchor"], batch["context"], batch["n"], strict=True) for d in _digests_of(c, window) for _ in range(min(n, 2))]
-            digests, anchors = np.array([d for d, _ in pairs], np.uint64), np.array([a for _, a in pairs], np.int64)
-            to = digests % np.uint64(ranges)
-            own = [to == r for r in range(ranges)]
-            yield pd.DataFrame({"range": range(ranges), "digests": [digests[x].tobytes() for x in own], "anchors": [anchors[x].tobytes() for x in own]})
+        for rows in batches:
+            for batch, n, sizes, words in zip(rows["batch"], rows["n"], rows["sizes"], rows["words"], strict=True):
+                sizes, digests = np.asarray(sizes), window_digests(np.frombuffer(words, "<u8"), window)
+                ends = np.repeat(np.cumsum(sizes), sizes)[: len(digests)]
+                at = np.arange(len(digests))
+                at = at[at + window <= ends]  # windows within one context
+                # a context that its document has twice repeats by itself
+                at = np.concatenate([at, at[np.repeat(np.asarray(n), sizes)[at] > 1]])
+                to = digests[at, 0] % np.uint64(ranges)
+                order = np.argsort(to, kind="stable")
+                at, to = at[order], to[order]
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
+                yield pd.DataFrame({"range": to[cut].astype(np.int32), "batch": batch, "digests": [digests[x].tobytes() for x in np.split(at, cut[1:])] if len(to) else [], "places": [x.astype(np.int32).tobytes() for x in np.split(at, cut[1:])] if len(to) else []})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, parts = None, []
 
         def flush() -> pd.DataFrame:
-            both = np.array([np.frombuffer(b"".join(x[i] for x in parts), np.int64) for i in (0, 1)])
-            pairs, n = np.unique(both, axis=1, return_counts=True)
-            anchors, digests = pairs[:, n > 1]
-            cut = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else []
-            return pd.DataFrame({"anchor": anchors[cut] if len(anchors) else anchors, "repeated": [x.tobytes() for x in np.split(digests, cut[1:])] if len(anchors) else []})
+            digests = np.frombuffer(b"".join(x[1] for x in parts), "<u8").reshape(-1, 2)
+            order = np.lexsort(digests.T)
+            same = (digests[order[1:]] == digests[order[:-1]]).all(axis=1)
+            again, cuts_ = np.zeros(len(digests), bool), np.cumsum([len(x[2]) // 4 for x in parts])[:-1]
+            again[order[1:][same]] = again[order[:-1][same]] = True
+            found = [(b, np.unique(np.frombuffer(places, np.int32)[mask]).tobytes()) for (b, _, places), mask in zip(parts, np.split(again, cuts_), strict=True) if mask.any()]
+            return pd.DataFrame(found, columns=["batch", "places"])
 
         for batch in batches:
-            for r, digests, anchors in zip(batch["range"], batch["digests"], batch["anchors"], strict=True):
+            for r, *part in zip(batch["range"], batch["batch"], batch["digests"], batch["places"], strict=True):
                 if r != key and parts:
                     yield flush()
                     parts = []
                 key = r
-                parts.append((anchors, digests))
+                parts.append(part)
         if parts:
             yield flush()
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, key, known = [], None, set()
-            for anchor, context, k1, k2, starts, repeated in zip(batch["anchor"], batch["context"], batch["k1"], batch["k2"], batch["starts"], batch["repeated"], strict=True):
-                if anchor != key:
-                    key, known = anchor, set(np.frombuffer(b"".join(repeated), np.uint64).tolist())
-                own: list[list[int]] = []
-                for i, d in enumerate(_digests_of(context, window)):
-                    if d in known:
-                        if own and i <= own[-1][1]:
-                            own[-1][1] = i + window
-                        else:
-                            own.append([i, i + window])
-                out += [(k1, k2, s + a, s + b) for s in starts.tolist() for a, b in own]
-            yield pd.DataFrame(out, columns=["k1", "k2", "a", "b"])
-
-    sent = cuts.select("anchor", "context", "n").mapInPandas(send, "range int, digests binary, anchors binary")
-    found = sent.repartition("range").sortWithinPartitions("range").mapInPandas(count, "anchor long, repeated binary")
-    found = ws.write(found.groupBy("anchor").agg(F.collect_list("repeated").alias("repeated")), "windows")
-    return cuts.join(found.hint("merge"), "anchor").mapInPandas(mark, SPAN)
+    def mark(found: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(found):
+            at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found["places"]]))
+            for k1, k2, starts, sizes in zip(rows["k1"], rows["k2"], rows["starts"], rows["sizes"], strict=True):
+                first = np.cumsum(sizes) - sizes
+                owner = np.searchsorted(first, at, side="right") - 1
+                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + window)])
+                begins = np.flatnonzero(new)
+                lasts = np.append(begins[1:], len(at)) - 1
+                for i, j in zip(begins, lasts, strict=True):
+                    o = owner[i]
+                    out += [(k1[o], k2[o], s + at[i] - first[o], s + at[j] - first[o] + window) for s in starts[o]]
+        return pd.DataFrame(out, columns=["k1", "k2", "a", "b"])
+
+    sent = packed.select("batch", "n", "sizes", "words").mapInPandas(send, "range int, batch long, digests binary, places binary")
+    found = sent.repartition("range").sortWithinPartitions("range").mapInPandas(count, "batch long, places binary")
+    owners = packed.select("batch", "k1", "k2", "starts", "sizes")
+    return ws.write(found.groupBy("batch").cogroup(owners.groupBy("batch")).applyInPandas(mark, SPAN), "hot-spans")
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,7 +381,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, **params) -> DataFr
     ws = Workspace(docs.sparkSession, "substring")
     own = find_repeats(docs, ws, **params).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     own = ws.write(own, "spans")
-    ws.drop("anchors", "counts", "contexts", "windows")
+    ws.keep("spans")
     rows = _rows(docs).join(own, ["k1", "k2"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans")
     out = rows.mapInPandas(_clean if with_text else _digests, "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", kept_text binary" * with_text)
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumns({"kept_text": F.col("kept_text").cast("string")} if with_text else {})
@@ -376,14 +414,27 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int =
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("spans", F.array().cast("array<struct<a:int,b:int>>"))
     for shard in shards():
-        shared = docs.sparkSession.sparkContext.broadcast(WordAutomaton([([w & (1 << 62) - 1 for w in words], 1) for words in shard]))
+        shared = docs.sparkSession.sparkContext.broadcast(WordAutomaton([([w & (1 << 63) - 1 for w in words], 1) for words in shard]))
 
         def stream(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
             for texts in batches:
-                ids = [[w & (1 << 62) - 1 for w in word_ids(split_words(t)).view(np.int64).tolist()] for t in texts]
+                ids = [[w & (1 << 63) - 1 for w in word_ids(split_words(t)).view(np.int64).tolist()] for t in texts]
                 yield pd.Series([[{"a": a, "b": b} for a, b in spans(shared.value, w, window, 1)] for w in ids])
 
         udf = F.pandas_udf(stream, "array<struct<a:int,b:int>>", F.PandasUDFType.SCALAR_ITER)
         rows = rows.withColumn("spans", F.concat("spans", udf("text")))
     out = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans").mapInPandas(_clean, "doc_id string, n_words long, n_removed long, kept_sha256 string, kept_text binary")
     return out.withColumns({"doc_id": F.col("doc_id").cast("long"), "kept_text": F.col("kept_text").cast("string")})
+
+
+#: DuckDB SQL for the rows of ``remove_repeats`` over ``documents``.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+r AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(35)) AS i FROM (SELECT doc_id, i FROM p JOIN r USING (g))),
+k AS (SELECT x.doc_id, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.i) AS kept
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w) x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i WHERE c.i IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""

@@ -5,7 +5,9 @@ larger id holds it. The HTTP block carries the payload in chunked transfer frami
 ``segment_bytes`` is cut: the first record has ``WARC-Segment-Number: 1``, ``continuation`` records follow with
 ``WARC-Segment-Origin-ID``, and the last gives ``WARC-Segment-Total-Length``. Records go to files through Spark's own
 text sink, as raw bytes with the record's trailing CRLF as line separator: any file system works, and
-task output is committed, so a lost executor leaves no half archive.
+task output is committed, so a lost executor leaves no half archive. Files roll by records, of which even the
+largest make no more than ``file_bytes``. A revisit names the record id of its response in ``WARC-Refers-To``, and its page in a
+header of our own; where rows repeat the response, so that several records are it, only the latter.
 
 *Reading.* Archives are parsed by ``Content-Length``. Segments are grouped by their origin, put in order of their
 number, and checked: numbers without a gap or repeat, and the total length. Whole blocks are
@@ -13,8 +15,8 @@ split into HTTP head and body, chunked bodies are decoded, and payloads are chec
 group is one page's payload, whatever the size of the table.
 
 Cases: a null html is an empty payload; a null url has no target; a null ``page_id`` is its own value and refers to
-none; rows that repeat the largest id of a payload are all responses; an empty table gives no records; other
-columns are ignored. A broken record, a missing segment, a wrong length or digest raises an error naming the record.
+none; rows that repeat the largest id of a payload are all responses (so are those that tie in it); a very long html is
+cut into segments; an empty table gives no records; other columns are ignored. A broken record, a missing segment, a wrong length or digest raises an error naming the record.
 """
 
 from __future__ import annotations
@@ -72,21 +74,29 @@ def record(headers: list[tuple[str, str | int | None]], block: bytes) -> bytes:
     return head.encode() + block + CRLF
 
 
-def page_records(uid: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
-    """The records of one page. ``refers_to``: the page that holds an equal payload, or None."""
+def page_record_id(page_id: int, digest: str) -> str:
+    """The record id of a response that others may refer to."""
+    return f"<urn:vellum:page:{page_id}:{digest}>"
+
+
+def page_records(uid: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, held_once: bool, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The records of one page. ``refers_to``: the page that holds an equal payload, or None; ``held_once``: one record is that page's, or this is it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = http + (chunked(payload, chunk_bytes) if refers_to is None else b"")
+    digest = base32_sha1(payload)
     name = lambda n: f"<urn:vellum:record:{uid}:{n}>"
+    first = page_record_id(page_id, digest) if held_once and refers_to is None else name(1)
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else None
     common = [("WARC-Target-URI", target), ("WARC-Date", DATE), ("Content-Type", "application/http;msgtype=response")]
-    own = [("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("X-Page-ID", page_id)]
+    own = [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id)]
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, *own, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:vellum:page:{refers_to}>")], block)
+        to = page_record_id(refers_to, digest) if held_once else None
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, *own, ("WARC-Profile", PROFILE), ("WARC-Refers-To", to), ("X-Refers-To-Page", refers_to)], block)
         return
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     for n, part in enumerate(parts, 1):
-        headers = [("WARC-Type", "continuation" if n > 1 else "response"), ("WARC-Record-ID", name(n)), *common]
-        headers += own if n == 1 else [("WARC-Segment-Origin-ID", name(1))]
+        headers = [("WARC-Type", "continuation" if n > 1 else "response"), ("WARC-Record-ID", name(n) if n > 1 else first), *common]
+        headers += own if n == 1 else [("WARC-Segment-Origin-ID", first)]
         if len(parts) > 1:
             headers += [("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)]
         yield record(headers, part)
@@ -110,28 +120,29 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def winners(pages: DataFrame, ws: Workspace, least: int = 0) -> DataFrame:
-    """``page_id, url, html, refers_to``: null for the largest id of equal payloads and for those under ``least`` bytes."""
+    """``page_id, url, html, refers_to, held_once``: ``refers_to`` is null for the largest id of equal payloads and for those under ``least`` bytes."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     # the long digest stands for the payload: equal payloads are found by 256 bits and their length
     key = F.concat_ws("/", F.octet_length(html).cast("string"), F.sha2(html, 256))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("_key", key)
-    shared = rows.where(F.octet_length("html") >= least).groupBy("_key").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = ws.write(shared.select("_key", "first_id"), "equal")
+    each = rows.where(F.octet_length("html") >= least).groupBy("_key", "page_id").agg(F.count(F.lit(1)).alias("rows"))
+    shared = each.groupBy("_key").agg(F.max(F.struct("page_id", "rows")).alias("first"), F.sum("rows").alias("n")).where("n > 1")
+    shared = ws.write(shared.select("_key", F.col("first.page_id").alias("first_id"), (F.col("first.rows") == 1).alias("held_once")), "equal")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.join(shared, "_key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return rows.join(shared, "_key", "left").select("page_id", "url", "html", refers.alias("refers_to"), F.coalesce(F.col("held_once") & F.col("first_id").isNotNull(), F.lit(False)).alias("held_once"))
 
 
-def write_archives(pages: DataFrame, path: str, ws: Workspace, least: int = 0, segment_bytes: int = 16384, chunk_bytes: int = 4096, records_per_file: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, ws: Workspace, least: int = 0, segment_bytes: int = 16384, chunk_bytes: int = 4096, file_bytes: int = 64 << 20) -> None:
     """Writes ``pages`` (``page_id, url, html``) as WARC files below ``path``."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[bytes] = []
-            for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
+            for page_id, url, html, refers_to, once in zip(*[batch[c] for c in ("page_id", "url", "html", "refers_to", "held_once")], strict=True):
                 n += 1
                 whole = lambda v: None if pd.isna(v) else int(v)
-                out += page_records(f"{task}-{n}", whole(page_id), url, html.encode(), whole(refers_to), segment_bytes, chunk_bytes)
+                out += page_records(f"{task}-{n}", whole(page_id), url, html.encode(), whole(refers_to), once, segment_bytes, chunk_bytes)
                 if len(out) >= 1000:
                     yield pd.DataFrame({"record": out})
                     out = []
@@ -141,7 +152,7 @@ def write_archives(pages: DataFrame, path: str, ws: Workspace, least: int = 0, s
     texts = winners(pages, ws, least).withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     # bytes pass through the string type unchanged, and the sink writes them as they are
     records = texts.mapInPandas(encode, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, file_bytes // (segment_bytes + 1024))).text(path)
 
 
 def read_records(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFrame:
@@ -154,9 +165,8 @@ def read_records(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFra
                 rows = []
                 for h, block in parse(content):
                     digest = h.get("warc-payload-digest", "")
-                    target = re.fullmatch(r"<urn:vellum:page:(-?\d+)>", h.get("warc-refers-to", ""))
                     number = lambda k, h=h: int(h[k]) if k in h else None
-                    rows.append((h["warc-record-id"], number("x-page-id"), h["warc-type"], int(target[1]) if target else None, digest.removeprefix("sha1:") or None, h.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), block))
+                    rows.append((h["warc-record-id"], number("x-page-id"), h["warc-type"], number("x-refers-to-page"), digest.removeprefix("sha1:") or None, h.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), block))
                     if len(rows) >= 1000:
                         yield _frame(rows, names)
                         rows = []
@@ -232,10 +242,11 @@ def round_trip(pages: DataFrame, **params) -> DataFrame:
     ws = Workspace(spark, "warc")
     write_archives(pages, ws.path("archives"), ws, **params)
     found = ws.write(decode_payloads(reassemble(read_records(spark, ws.path("archives")))), "found")
-    ws.drop("archives")
+    ws.drop("archives", "equal")
     held = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("_held"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     # only pages that another refers to have to be joined, and only revisits look them up
     held = ws.write(held, "held")
+    ws.keep("found", "held")
     revisits = found.where("record_type = 'revisit'").join(held, (F.col("refers_to") == F.col("_held")) & (F.col("payload_digest") == F.col("_digest")), "left").withColumn("payload_bytes", F.col("_bytes"))
     fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return found.where("record_type <> 'revisit'").select(*fields).unionByName(revisits.select(*fields))
@@ -245,3 +256,14 @@ def base32_of(hex_digest: Column) -> Column:
     """Base32 of a hexadecimal SHA-1, without Python: 5 hexadecimal digits are 4 of base32."""
     group = lambda i: F.lpad(F.conv(F.substring(hex_digest, 5 * i + 1, 5), 16, 32), 4, "0")
     return F.translate(F.lower(F.concat(*[group(i) for i in range(8)])), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+#: DuckDB SQL for the rows of ``round_trip`` over ``pages``.
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages),
+d AS (SELECT page_id, h, m, list_transform(range(8), lambda i: CAST('0x' || substr(sha1(h), CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: {" || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> {b}) % 32 + 1, 1)" for b in (15, 10, 5, 0))}), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM d
+"""
