@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, bound_batches
 
-ORDER, FOLDS, CHUNK, MOST_LABELS = 5, 3, 1 << 21, 2_000_000
+ORDER, FOLDS, CHUNK, MOST_LABELS = 4, 3, 1 << 22, 2_000_000
 WORDS = 100  # words without surprise that each document is given
 LEVELS = 8  # of a word's surprise, for each nat
 BLANK, BREAK, DIGIT = 32, 10, 48
@@ -130,7 +130,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, keys, folds, texts = zip(*open_.pop(lang), strict=True)
         size.pop(lang)
         made += 1
-        data = zstandard.ZstdCompressor(level=3).compress("".join(texts).encode("utf-8", "surrogatepass"))
+        data = zstandard.ZstdCompressor(level=9).compress("".join(texts).encode("utf-8", "surrogatepass"))
         return pd.DataFrame({"chunk": [task | made], "lang": np.array([lang], object), "ids": [list(ids)], "keys": [list(keys)], "folds": [list(folds)], "sizes": [[len(t) for t in texts]], "texts": [data]})
 
     for batch in batches:
