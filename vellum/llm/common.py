@@ -49,7 +49,10 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once: long texts make batches of fewer rows."""
+    """Bounds what a Python worker holds at once: long texts make batches of fewer rows.
+
+    The settings are the session's and stay, since what an operator returns runs later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
@@ -58,11 +61,15 @@ class Workspace:
     """Tables that cut lineage, in a folder of one run below the shared one.
 
     A written table survives lost executors, is planned with its true size, and is read again without
-    the work above it. ``drop`` frees what no later step reads.
+    the work above it. ``drop`` frees what no later step reads; ``keep`` all but what a result still reads, which stays
+    until its folder is removed, with ``sweep`` when results have been written.
     """
 
+    folders: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.names = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
+        Workspace.folders.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -84,6 +91,14 @@ class Workspace:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes what operators of this session have left in the shared folder; their results must not be read afterwards."""
+    for root in Workspace.folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    Workspace.folders.clear()
+
+
 def rank_in_groups(df: DataFrame, group: list[str], bucket: Column, order: list[Column], out: str, weight: Column | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` (1) of the rows that come before a row in its group, from 0.
 

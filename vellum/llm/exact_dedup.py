@@ -11,8 +11,9 @@ stages, each grouping by digest *and* full text, so that a digest collision neve
 A thin join on the digest then gives each row its group. A digest that turns out to have several texts
 is joined on digest and text instead.
 
-Cases: null texts count as empty; rows whose ``doc_id`` is null are members, and the group's winner is null
-only if all ids are; rows that repeat the winner's id and text are all kept; an empty table gives an empty
+Cases: null texts count as empty; very long texts are compared whole, in all three stages; ties of the largest id are rows that
+repeat it, which are all kept; rows whose ``doc_id`` is null are members, and the group's winner is null
+only if all ids are; an empty table gives an empty
 result; further columns, whatever their names, are ignored.
 """
 

@@ -13,9 +13,11 @@ texts are parsed, in blocks of ``BLOCK`` symbols; a phrase ends with its block.
 
 Symbols are lower-cased letters; each run of anything else is one separator, so digits and punctuation carry no
 weight. The ``SINGLE`` most frequent letters of all samples are a symbol each; any other letter is ``OTHER`` and ``DIGITS``
-symbols for its code point, so no letter is merged with another, whatever the script. Cases: null texts and texts without a letter are ``und`` with score 0; so is everything if
-nothing is labelled; ties go to the first language by name;
-null or repeated ids and other columns do no harm (a null id is never in training).
+symbols for its code point, so no letter is merged with another, whatever the script.
+
+Cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing is labelled; very long
+texts are parsed whole; ties go to the first language by name; repeated rows are judged alike; an empty table gives an
+empty result; null or repeated ids and other columns do no harm (a null id is never in training).
 """
 
 from __future__ import annotations
