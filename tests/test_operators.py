@@ -121,6 +121,10 @@ def test_vocabulary(spark):
     text = {r["k"]: r["text"] for r in tokens.decode(tokens.encode(rows, vocabulary), vocabulary, ["k"]).collect()}
     assert text == {1: "b a é b", 2: "Z a"}
     assert tokens.encode(rows, vocabulary.where("token <> 'a'"), unknown_id=9).where("id = 9").count() == 2
+    counted = tokens.build_vocabulary(rows, counts=True)
+    for hot in (1, 2, 50):
+        for v in (counted, counted.where("token <> 'Z'")):
+            assert sorted(map(str, tokens.encode(rows, v, 9, hot).select("k", "pos", "id").collect())) == sorted(map(str, tokens.encode(rows, v, 9).select("k", "pos", "id").collect()))
 
 
 def test_external_tokenizer(spark):

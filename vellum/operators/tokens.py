@@ -68,11 +68,11 @@ def word_piece_file(vocabulary: list[str], path: str, unknown: str = "[UNK]") ->
     return path
 
 
-def build_vocabulary(tokens: DataFrame, column: str = "token", first_id: int = 0) -> DataFrame:
-    """``token, id`` of the distinct tokens, numbered in binary order."""
-    distinct = tokens.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct()
-    numbered = global_number(distinct, F.substring("token", 1, 3), ["token"], "_n")
-    return numbered.select("token", (F.col("_n") - 1 + first_id).cast("long").alias("id"))
+def build_vocabulary(tokens: DataFrame, column: str = "token", first_id: int = 0, counts: bool = False) -> DataFrame:
+    """``token, id`` of the distinct tokens, numbered in binary order; with ``counts`` also ``n``, how often each occurs."""
+    distinct = tokens.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    numbered = global_number(distinct if counts else distinct.drop("n"), F.substring("token", 1, 3), ["token"], "_n")
+    return numbered.select("token", (F.col("_n") - 1 + first_id).cast("long").alias("id"), *["n"] * counts)
 
 
 def add_tokens(vocabulary: DataFrame, tokens: list[str]) -> DataFrame:
@@ -94,9 +94,20 @@ def token_rows(df: DataFrame, key: list[str], tokens: Column) -> DataFrame:
     return df.select(*key, F.posexplode(tokens).alias("pos", "token"))
 
 
-def encode(rows: DataFrame, vocabulary: DataFrame, unknown_id: int | None = None) -> DataFrame:
-    """Adds ``id`` to token rows; tokens that the vocabulary lacks get ``unknown_id``."""
-    return rows.join(vocabulary, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown_id).cast("long")))
+def encode(rows: DataFrame, vocabulary: DataFrame, unknown_id: int | None = None, hot: int = 0) -> DataFrame:
+    """Adds ``id`` to token rows; tokens that the vocabulary lacks get ``unknown_id``.
+
+    With ``hot``, the vocabulary has counts (``n``), and its ``hot`` most frequent tokens, a bounded number, are broadcast: they are
+    most rows of any text, and no task gets all rows of a frequent token. Only the other rows are joined by token.
+    Rows are computed twice then, and the vocabulary should be a written table.
+    """
+    known = vocabulary.select("token", "id")
+    if not hot:
+        return rows.join(known, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown_id).cast("long")))
+    frequent = vocabulary.orderBy(F.desc("n"), "id").limit(hot).select("token", "id")
+    common = rows.join(F.broadcast(frequent), "token")
+    rare = rows.join(F.broadcast(frequent.select("token")), "token", "left_anti").join(known, "token", "left")
+    return common.unionByName(rare.withColumn("id", F.coalesce("id", F.lit(unknown_id).cast("long"))))
 
 
 def decode(rows: DataFrame, vocabulary: DataFrame, key: list[str], separator: str = " ") -> DataFrame:

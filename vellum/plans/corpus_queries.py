@@ -490,7 +490,9 @@ def vocab_add_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("encode_ids", f"WITH {VOCABULARY}, {TOKENS} SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(sum(id * (pos + 1)) AS BIGINT) AS id_sum FROM r JOIN v ON r.w[r.pos + 1] = v.token GROUP BY doc_id")
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _token_rows(spark, sf_dir)
-    ids = tokens.encode(rows, tokens.build_vocabulary(rows))
+    path = shared_folder(spark, "vocabulary")
+    tokens.build_vocabulary(rows, counts=True).write.parquet(path)
+    ids = tokens.encode(rows, spark.read.parquet(path), hot=10_000)
     return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.col("id") * (F.col("pos") + 1)).alias("id_sum"))
 
 
