@@ -38,6 +38,29 @@ def test_phrases():
     assert letters.tolist() == [True] * 4 + [False, False, True]
 
 
+def test_predictions():
+    """The language with the smallest ``phrases * log2(labelled symbols) / symbols``, ties to the first by name."""
+    rng = random.Random(8)
+    same = sentence(rng, 60, "z")
+    samples = {"q": [sentence(rng, 80, "abcd")], "p": [sentence(rng, 40, "abcd")], "r": [sentence(rng, 60, "cdef")], "s": [same], "t": [same]}
+    model = langid.Model(samples, 10_000)
+    table = langid.symbol_table(model.symbols)
+    texts = [sentence(rng, rng.randint(1, 90), rng.choice(["ab", "abcd", "cdef", "def", "zz", "xyz"])) for _ in range(120)] + ["", "12", "zz zzz z zz", "Z zzz zz z"]
+    names, scores = model.predict(texts, table)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        symbols, sizes, _ = langid.encode([text], table)
+        if not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0)
+            continue
+        entropy = []
+        for lang in sorted(samples):
+            sample = [x for t in samples[lang] for x in [*langid.encode([t], table)[0].tolist(), 0]]
+            entropy.append(parse(symbols.tolist(), sample) * np.log2(len(sample) + 2) / sizes[0])
+        first, second = sorted(entropy)[:2]
+        assert name == sorted(samples)[entropy.index(first)] and abs(score - (1 - first / second)) < 1e-9
+    assert names[-2:] == ["s", "s"] and set(names) >= {"p", "q", "r", "s", "und"}
+
+
 def test_automaton():
     """It accepts exactly the substrings."""
     rng = random.Random(4)

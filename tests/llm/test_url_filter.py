@@ -1,6 +1,8 @@
+import math
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vellum.llm import url_filter as U
@@ -46,8 +48,6 @@ def test_training_against_plain_loops(spark):
     grams = [(r["g"], r["label"]) for r in table.where("url IS NOT NULL AND label IS NOT NULL").select(U.gram_indices(host, path, dims).alias("g"), "label").collect()]
     xs = [[g.count(j) / len(g) ** 0.5 for j in range(dims)] + [1.0] for g, _ in grams]
     w = [0.0] * (dims + 1)
-    import math
-
     for _ in range(steps):
         miss = [1 / (1 + math.exp(-sum(a * b for a, b in zip(x, w, strict=True)))) - y for x, (_, y) in zip(xs, grams, strict=True)]
         w = [v * (1 - rate * decay) - rate / len(xs) * sum(x[j] * m for x, m in zip(xs, miss, strict=True)) for j, v in enumerate(w)]
@@ -56,6 +56,25 @@ def test_training_against_plain_loops(spark):
         U.train(table.limit(0))
 
 
+def test_scores_against_plain_python(spark):
+    """Hashed n-grams and the score of a URL, without a column expression."""
+    weights = U.train(U.labelled_urls(spark), 4096)
+    rows = [u for u in URLS if u] + ["https://long.example.com/" + "pills/" * 3000]
+    got = {r["page_id"]: r for r in U.url_verdicts(spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], PAGES)).collect()}
+    for i, u in enumerate(rows):
+        host, path = split(u)
+        cells = []
+        if host or path:
+            for mark, text in (("h", f"^{host}$"), ("p", f"{path}$")):
+                for n in (3, 4):
+                    for k in range(len(text) - n + 1):
+                        h = xxhash.xxh64_intdigest(text[k : k + n].encode(), seed=xxhash.xxh64_intdigest(mark.encode(), seed=42))
+                        cells.append((h - (1 << 64) if h >> 63 else h) % 4096)
+        z = weights[-1] + sum(weights[c] for c in cells) / max(1, len(cells)) ** 0.5
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)) if cells else 0, abs=1e-9)
+        assert got[i]["verdict"] == (rule(host, path)[1] or ("block" if got[i]["score"] > 0.5 else "allow"))
+
+
 def test_learns(spark):
     labelled = U.labelled_urls(spark)
     got = U.url_verdicts(labelled.select(F.col("label").cast("long").alias("page_id"), "url"), rules=())
