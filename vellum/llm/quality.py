@@ -31,13 +31,13 @@ kept; repeated rows count as often as they occur; an empty table gives an empty
 
 from __future__ import annotations
 
+import bz2
 import functools
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, bound_batches
 
-ORDER, FOLDS, CHUNK, MOST_LABELS = 4, 3, 1 << 22, 2_000_000
+ORDER, FOLDS, CHUNK, MOST_LABELS = 4, 3, 1 << 23, 2_000_000
 WORDS = 100  # words without surprise that each document is given
 LEVELS = 8  # of a word's surprise, for each nat
 BLANK, BREAK, DIGIT = 32, 10, 48
@@ -72,28 +72,38 @@ def symbols(text: str) -> np.ndarray:
 
 
 def grams(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """For each symbol of all texts, the number of its n-gram, which ends with it; and the n-grams by number."""
+    """For each symbol of all texts, the number of its n-gram, which ends with it; and the n-grams by number.
+
+    N-grams are numbered in the order in which they first occur. Arrays are as narrow as their numbers allow.
+    """
     pad, total = ORDER - 1, len(own)
     if not total:
-        return np.zeros(0, np.int64), []
-    at = np.arange(total) + pad * (np.repeat(np.arange(len(sizes)), sizes) + 1)
-    row = np.zeros(total + pad * len(sizes), np.uint32)
-    row[at] = own
+        return np.zeros(0, np.int32), []
+    inside = np.ones(total + pad * len(sizes), bool)
+    before = np.cumsum(sizes) - sizes + pad * np.arange(len(sizes))
+    for k in range(pad):
+        inside[before + k] = False
+    row = np.zeros(len(inside), np.uint32)
+    row[inside] = own
     alphabet = np.flatnonzero(np.bincount(row))
-    number = np.zeros(alphabet[-1] + 1, np.int64)
-    number[alphabet] = np.arange(len(alphabet))
+    width = len(alphabet)
+    number = np.zeros(alphabet[-1] + 1, np.uint16 if width < 1 << 16 else np.uint32)
+    number[alphabet] = np.arange(width)
     single = number[row]
-    code, width = single, len(alphabet)
+    code = single.astype(np.uint32 if width**ORDER < 1 << 32 else np.int64)
     for k in range(1, ORDER):
         if width * len(alphabet) >= 1 << 62:
             code, distinct = pd.factorize(code)
             width = len(distinct)
-        code = code.copy()
-        code[k:] += single[:-k] * width
+        high = single[:-k].astype(code.dtype)
+        high *= code.dtype.type(width)
+        code[k:] += high
         width *= len(alphabet)
-    code, distinct = pd.factorize(code[at])
-    first = np.zeros(len(distinct), np.int64)
-    first[code[::-1]] = at[::-1]
+    del single, high
+    code, distinct = pd.factorize(code[inside])
+    code = code.astype(np.int32)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=np.int32(-1)) > 0)
+    first = first + pad * (np.searchsorted(np.cumsum(sizes), first, side="right") + 1)
     text = row[first[:, None] + np.arange(-pad, 1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
     return code, [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
@@ -107,7 +117,7 @@ def surprises(own: np.ndarray, nats: np.ndarray, sizes: np.ndarray) -> tuple[np.
     length = np.diff(np.append(at, len(own)))
     level = (np.add.reduceat(nats, at) * LEVELS / length).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     letters = np.add.reduceat(~blank, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+    owner = np.searchsorted(ends, at, side="right")
     kept = letters > 0  # further white space is no word
     pair, n = np.unique(owner[kept] << 32 | level[kept], return_counts=True)
     cuts = np.searchsorted(pair >> 32, np.arange(1, len(sizes)))
@@ -130,7 +140,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, keys, folds, texts = zip(*open_.pop(lang), strict=True)
         size.pop(lang)
         made += 1
-        data = zstandard.ZstdCompressor(level=9).compress("".join(texts).encode("utf-8", "surrogatepass"))
+        data = bz2.compress("".join(texts).encode("utf-8", "surrogatepass"))
         return pd.DataFrame({"chunk": [task | made], "lang": np.array([lang], object), "ids": [list(ids)], "keys": [list(keys)], "folds": [list(folds)], "sizes": [[len(t) for t in texts]], "texts": [data]})
 
     for batch in batches:
@@ -162,7 +172,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _unpack(texts: bytes) -> np.ndarray:
-    return symbols(zstandard.ZstdDecompressor().decompress(texts).decode("utf-8", "surrogatepass"))
+    return symbols(bz2.decompress(texts).decode("utf-8", "surrogatepass"))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
