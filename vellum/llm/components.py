@@ -19,6 +19,8 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """
     plain = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = ws.write(plain, f"{name}-links-0")
+    if not links.take(1):
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     tree = ws.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("parent")), f"{name}-tree-0")
     turn, step, old = 0, 0, [f"{name}-tree-0"]
