@@ -166,7 +166,25 @@ def test_toxic(spark, sf_dir):
     assert n[1][0] > 90 and n[1][1] <= 0.1 * n[1][0] and n[0][1] >= 0.99 * n[0][0]
 
 
+def pairs(found):
+    return [[(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in t] for t in found]
+
+
 def test_surprises():
     texts = ["ab  c", "", " d"]
-    words, levels = quality.surprises(np.array(symbols("".join(texts))), np.array([32, 32, 32, 99, 16, 7, 48]) / 16, np.array([len(t) for t in texts]))
-    assert words.tolist() == [2, 0, 1] and [[(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in t] for t in levels] == [[(8, 1), (16, 1)], [], [(24, 1)]]
+    words, levels, places = quality.surprises(np.array(symbols("".join(texts))), np.array([32, 32, 32, 99, 16, 7, 48]) / 16, np.array([len(t) for t in texts]))
+    assert words.tolist() == [2, 0, 1] and pairs(levels) == [[(8, 1), (16, 1)], [], [(24, 1)]]
+    assert pairs(places) == [[(b, 1) for b in range(16)], [], [(b, 1) for b in range(24)]]
+
+
+def test_places():
+    """Odd words near each other are one place."""
+    rng = random.Random(5)
+    texts = [" ".join("xy"[rng.random() < 0.1] for _ in range(rng.randint(0, 120))) for _ in range(30)]
+    own = np.array(symbols("".join(texts)))
+    cost = np.where(own == ord("y"), 3.0, np.where(own == ord("x"), 1.0, 2.0))
+    words, _, places = quality.surprises(own, cost, np.array([len(t) for t in texts]))
+    for text, n, found in zip(texts, words, pairs(places), strict=True):
+        at = [i for i, w in enumerate(text.split()) if w == "y"]
+        want = sum(i == 0 or at[i] > at[i - 1] + quality.NEAR for i in range(len(at)))
+        assert n == len(text.split()) and dict(found).get(16, 0) == want

@@ -16,12 +16,14 @@ judge words never seen. A symbol is a whole code point, of any script; only digi
    the driver none; rows are n-grams of chunks, so they are fewer than characters and grow with the corpus.
 5. *Words.* A word's surprise is its mean negative log probability a character, with the white space after it. The
    ``rare`` most surprising part of a language's held-out words sets the bound from which a word is odd. A mean over
-   thousands of characters hides a few words that trusted text never has, such as insults; their share doesn't.
-6. *Thresholds* are quantiles of held-out trusted documents, by language (of those of training where none is held out),
-   one for the perplexity, at ``1 - reject / 4``, and one for the share of odd words, which tells more, at
-   ``1 - 3 * reject / 4``; so about ``reject`` of trusted documents are over one of them. Perplexities are drawn towards the language's median as if ``prior`` more
-   characters had it, and shares towards 0 by ``WORDS`` words, so that a short document isn't rejected for a few
-   rare letters.
+   thousands of characters hides a few words that trusted text never has, such as insults; their share doesn't. Odd
+   words within ``NEAR`` words of the one before count once: a sentence in another language is one odd place, scattered
+   insults are many.
+6. *Thresholds* are quantiles of held-out trusted documents, by language (of those of training where none is held out): of
+   the perplexity and of the share of odd words, both at ``1 - reject / 4``, and of odd places to a word, at
+   ``1 - reject / 2``; so about ``reject`` of trusted documents are over one of them. Perplexities are drawn towards the language's
+   median as if ``prior`` more characters had it, and shares and places towards 0 by ``WORDS`` words, so that a short
+   document isn't rejected for a few rare letters.
 
 Cases: null and empty texts have no perplexity and are kept, as is everything without trusted text in its
 language; a null language is a language of its own; a very long text is a chunk of its own, never cut; of repeated or
@@ -48,10 +50,11 @@ from .common import Workspace, bound_batches
 ORDER, FOLDS, CHUNK, MOST_LABELS = 4, 3, 1 << 23, 2_000_000
 WORDS = 100  # words without surprise that each document is given
 LEVELS = 8  # of a word's surprise, for each nat
+NEAR = 20  # words from the odd one before within which another is part of the same place
 BLANK, BREAK, DIGIT = 32, 10, 48
 PACKED = "chunk long, lang string, ids array<string>, keys array<long>, folds array<int>, sizes array<int>, texts binary"
 GRAMS = "chunk long, lang string, gram string, n long"
-SCORED = "lang string, id string, key long, fold int, chars long, nats double, words long, levels array<long>"
+SCORED = "lang string, id string, key long, fold int, chars long, nats double, words long, levels array<long>, places array<long>"
 
 
 @functools.lru_cache(1)
@@ -108,8 +111,9 @@ def grams(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[str]]:
     return code, [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
 
-def surprises(own: np.ndarray, nats: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Each text's number of words, and its words by level of surprise: ``level << 32 | words``."""
+def surprises(own: np.ndarray, nats: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Each text's number of words; its words by level of surprise, ``level << 32 | words``; and for each level that a
+    word of it exceeds, how many places such words make, ``level << 32 | places``."""
     blank, ends = (own == BLANK) | (own == BREAK), np.cumsum(sizes)
     first = np.concatenate([[True], blank[:-1]]) if len(own) else np.zeros(0, bool)
     first[(ends - sizes)[sizes > 0]] = True  # white space ends a word, as does the end of a text
@@ -119,9 +123,20 @@ def surprises(own: np.ndarray, nats: np.ndarray, sizes: np.ndarray) -> tuple[np.
     letters = np.add.reduceat(~blank, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
     owner = np.searchsorted(ends, at, side="right")
     kept = letters > 0  # further white space is no word
-    pair, n = np.unique(owner[kept] << 32 | level[kept], return_counts=True)
+    owner, level = owner[kept], level[kept]
+    pair, n = np.unique(owner << 32 | level, return_counts=True)
     cuts = np.searchsorted(pair >> 32, np.arange(1, len(sizes)))
-    return np.bincount(owner[kept], minlength=len(sizes)), np.split((pair & 0xFFFFFFFF) << 32 | n, cuts)
+    left, found = np.arange(len(level)), [np.zeros((0, 3), np.int64)]
+    for bound in range(int(level.max(initial=-1))):
+        left = left[level[left] > bound]
+        new = np.ones(len(left), bool)
+        new[1:] = (left[1:] > left[:-1] + NEAR) | (owner[left[1:]] != owner[left[:-1]])
+        texts, places = np.unique(owner[left[new]], return_counts=True)
+        found.append(np.stack([texts, np.full(len(texts), bound), places], axis=1))
+    found = np.concatenate(found)
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    ends = np.searchsorted(found[:, 0], np.arange(1, len(sizes)))
+    return np.bincount(owner, minlength=len(sizes)), np.split((pair & 0xFFFFFFFF) << 32 | n, cuts), np.split(found[:, 1] << 32 | found[:, 2], ends)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -225,19 +240,20 @@ def _judge(model: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
     parts = []
     for lang, ids, keys, folds, sizes, texts in zip(*[packed[c] for c in ("lang", "ids", "keys", "folds", "sizes", "texts")], strict=True):
         sizes, own = np.asarray(sizes, np.int64), _unpack(texts)
-        nats, words, levels = np.full(len(sizes), np.nan), np.zeros(len(sizes), np.int64), [np.zeros(0, np.int64)] * len(sizes)
+        nats, words = np.full(len(sizes), np.nan), np.zeros(len(sizes), np.int64)
+        levels = places = [np.zeros(0, np.int64)] * len(sizes)
         if len(model) and len(own):
             code, names = grams(own, sizes)
             cost = pd.Series(model["nats"].to_numpy(), index=model["gram"]).reindex(names).to_numpy()[code]
             sums, ends = np.concatenate([[0], np.cumsum(cost)]), np.cumsum(sizes)
             nats = np.where(sizes > 0, sums[ends] - sums[ends - sizes], np.nan)
-            words, levels = surprises(own, cost, sizes)
-        parts.append(pd.DataFrame({"lang": np.full(len(sizes), lang, object), "id": np.array(ids, object), "key": keys, "fold": folds, "chars": sizes, "nats": nats, "words": words, "levels": levels}))
+            words, levels, places = surprises(own, cost, sizes)
+        parts.append(pd.DataFrame({"lang": np.full(len(sizes), lang, object), "id": np.array(ids, object), "key": keys, "fold": folds, "chars": sizes, "nats": nats, "words": words, "levels": levels, "places": places}))
     return pd.concat(parts)
 
 
 def score(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
-    """``SCORED`` for each document: ``nats`` is the summed -log p, null where no model judges; ``levels``, see ``surprises``."""
+    """``SCORED`` for each document: ``nats`` is the summed -log p, null where no model judges; ``levels`` and ``places``, see ``surprises``."""
     bound_batches(docs.sparkSession)
     chunks = pack(docs, labels, ws)
     found = ws.write(chunks.select("chunk", "lang", "folds", "sizes", "texts").mapInPandas(_count, GRAMS), "grams")
@@ -254,8 +270,8 @@ def _of_fold(value: Column, name: str, how) -> list[Column]:
     return [how(F.when(F.col("fold") == f, value)).alias(f"{name}{f}") for f in (2, 1)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, ws: Workspace, reject: float = 0.01, prior: float = 40.0, rare: float = 0.001) -> DataFrame:
-    """Per document ``id, key, lang`` (see ``pack``), ``perplexity`` of a character, ``drawn_perplexity``, ``odd_share``, ``limit``, ``odd_limit`` and ``kept``."""
+def judge(docs: DataFrame, labels: DataFrame, ws: Workspace, reject: float = 0.01, prior: float = 40.0, rare: float = 0.002) -> DataFrame:
+    """Per document ``id, key, lang`` (see ``pack``), ``perplexity`` of a character, ``drawn_perplexity``, ``odd_share``, ``odd_places``, their limits ``limit``, ``share_limit``, ``place_limit``, and ``kept``."""
     scored = score(docs, labels, ws)
     trusted = scored.where("fold > 0 AND nats IS NOT NULL")
     middle = trusted.groupBy("lang").agg(*_of_fold(F.col("nats") / F.col("chars"), "m", lambda c: F.percentile_approx(c, 0.5, 100_000))).select("lang", F.coalesce("m2", "m1").alias("median"))
@@ -265,24 +281,28 @@ def judge(docs: DataFrame, labels: DataFrame, ws: Workspace, reject: float = 0.0
     words = words.withColumn("total", F.sum("n").over(own)).withColumn("below", F.sum("n").over(own.orderBy("level")))
     words = words.where(F.col("below") >= (1 - rare) * F.col("total")).groupBy("lang").agg(*_of_fold(F.col("level"), "l", F.min)).select("lang", F.coalesce("l2", "l1").alias("odd"))
     bounds = ws.write(middle.join(words, "lang", "left"), "bounds")
-    over = F.filter("levels", lambda x: F.shiftright(x, 32) > F.col("odd"))
-    share = F.aggregate(over, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(0xFFFFFFFF)) / (F.col("words") + WORDS)
+    total = lambda found: F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(0xFFFFFFFF)) / (F.col("words") + WORDS)
+    share = total(F.filter("levels", lambda x: F.shiftright(x, 32) > F.col("odd")))
+    places = total(F.filter("places", lambda x: F.shiftright(x, 32) == F.col("odd")))
     drawn = (F.col("nats") + prior * F.col("median")) / (F.col("chars") + prior)
-    rows = scored.join(bounds, "lang", "left").select("id", "key", "lang", "fold", "nats", "chars", drawn.alias("drawn"), share.alias("share"))
+    rows = scored.join(bounds, "lang", "left").select("id", "key", "lang", "fold", "nats", "chars", drawn.alias("drawn"), share.alias("share"), places.alias("places"))
+    limits = {"drawn": 1 / 4, "share": 1 / 4, "places": 1 / 2}
     quantile = lambda part: lambda c: F.percentile_approx(c, 1 - part * reject, 100_000)
-    high = rows.where("fold > 0 AND nats IS NOT NULL").groupBy("lang").agg(*_of_fold(F.col("drawn"), "q", quantile(1 / 4)), *_of_fold(F.col("share"), "o", quantile(3 / 4)))
-    high = ws.write(high.select("lang", F.coalesce("q2", "q1").alias("limit"), F.coalesce("o2", "o1").alias("odd_limit")), "limits")
+    high = rows.where("fold > 0 AND nats IS NOT NULL").groupBy("lang").agg(*[x for c, part in limits.items() for x in _of_fold(F.col(c), c, quantile(part))])
+    high = ws.write(high.select("lang", *[F.coalesce(f"{c}2", f"{c}1").alias(f"{c}_limit") for c in limits]), "limits")
     rows = rows.join(high, "lang", "left")
-    kept = F.coalesce((F.col("drawn") <= F.col("limit")) & (F.coalesce("share", F.lit(0.0)) <= F.coalesce("odd_limit", F.lit(1.0))), F.lit(True))
-    return rows.select("id", "key", "lang", F.exp(F.col("nats") / F.col("chars")).alias("perplexity"), F.exp("drawn").alias("drawn_perplexity"), F.col("share").alias("odd_share"), F.exp("limit").alias("limit"), "odd_limit", kept.alias("kept"))
+    # without a limit there is nothing to exceed
+    over = [F.coalesce(F.col(c) > F.col(f"{c}_limit"), F.lit(False)) for c in limits]
+    named = [F.exp("drawn").alias("drawn_perplexity"), F.col("share").alias("odd_share"), F.col("places").alias("odd_places"), F.exp("drawn_limit").alias("limit"), "share_limit", F.col("places_limit").alias("place_limit")]
+    return rows.select("id", "key", "lang", F.exp(F.col("nats") / F.col("chars")).alias("perplexity"), *named, (~(over[0] | over[1] | over[2])).alias("kept"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """``doc_id, lang, perplexity, drawn_perplexity, odd_share, limit, odd_limit, kept`` for each document."""
+    """``doc_id, lang``, the figures and limits of ``judge``, and ``kept``, for each document."""
     ws = Workspace(docs.sparkSession, "quality")
     found = judge(docs.select("doc_id", "text", "lang"), labels, ws, **params)
     lang = F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30))
-    out = ws.write(found.withColumns({"doc_id": F.col("id").cast(docs.schema["doc_id"].dataType), "lang": lang}).select("doc_id", "lang", "perplexity", "drawn_perplexity", "odd_share", "limit", "odd_limit", "kept"), "report")
+    out = ws.write(found.withColumns({"doc_id": F.col("id").cast(docs.schema["doc_id"].dataType), "lang": lang}).drop("id", "key"), "report")
     ws.keep("report")
     return out
 
