@@ -27,7 +27,7 @@ def brute_force(texts, alphabet):
         n = Counter(c.values())
         n1, n2, n3, n4 = max(n[1], 1), n[2], n[3], n[4]
         y = n1 / (n1 + 2 * n2)
-        d = lambda i, a, b: max(i - (i + 1) * y * b / a if a else 0.5 * i, 0)
+        d = lambda i, a, b: max(i - (i + 1) * y * b / a if a else 0.5 * i, quality.LEAST)
         return [0, d(1, n1, n2), d(2, n2, n3), d(3, n3, n4)]
 
     cut = {k: cuts(c) for k, c in counts.items()}

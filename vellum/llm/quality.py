@@ -50,6 +50,7 @@ from .common import Workspace, bound_batches
 ORDER, FOLDS, CHUNK, MOST_LABELS = 4, 3, 1 << 23, 2_000_000
 WORDS = 100  # words without surprise that each document is given
 LEVELS = 8  # of a word's surprise, for each nat
+LEAST = 0.1  # of a discount, so that what was never seen has a probability
 NEAR = 20  # words from the odd one before within which another is part of the same place
 BLANK, BREAK, DIGIT = 32, 10, 48
 PACKED = "chunk long, lang string, ids array<string>, keys array<long>, folds array<int>, sizes array<int>, texts binary"
@@ -215,7 +216,7 @@ def probabilities(counts: DataFrame, ws: Workspace) -> DataFrame:
     for k in range(1, ORDER + 1):
         own, context = seen[k], F.substring("gram", 1, k - 1).alias("context")
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        cut = [F.greatest(F.coalesce(F.try_divide(F.lit(-(i + 1.0)) * y * F.col(f"n{i + 1}"), F.col(f"n{i}")) + i, F.lit(0.5 * i)), F.lit(0.0)).alias(f"d{i}") for i in (1, 2, 3)]
+        cut = [F.greatest(F.coalesce(F.try_divide(F.lit(-(i + 1.0)) * y * F.col(f"n{i + 1}"), F.col(f"n{i}")) + i, F.lit(0.5 * i)), F.lit(LEAST)).alias(f"d{i}") for i in (1, 2, 3)]
         exact = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         cuts = ws.write(own.groupBy("lang").agg(*exact).withColumn("n1", F.greatest("n1", F.lit(1.0))).select("lang", *cut), f"cuts-{k}")
         kinds = [F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") >= 3).alias("k3")]
