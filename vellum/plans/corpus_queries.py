@@ -278,13 +278,21 @@ def attention_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
+def _lines() -> Column:
+    """Lines of ``text`` without blanks (of any width) at their ends, and without empty ones; like ``LINES``.
+
+    ``F.trim`` has a second parameter: given to ``F.transform`` as such it gets a line's number and trims its digits.
+    """
+    return F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\A\p{Zs}+|\p{Zs}+\z", "")), lambda x: x != "")
+
+
 def xml_documents(spark: SparkSession, sf_dir: str, header: bool = True, every: int = 3, nested: bool = False) -> DataFrame:
     """``path, content``: a paragraph for each line, a page break after every third; every 11th file is malformed."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = _lines()
     item = lambda x, i: F.concat(F.lit("<P>"), escape(x), F.lit("</P>"), F.when(i % every == every - 1, F.lit("<PB/>")).otherwise(F.lit("")))
     body = F.array_join(F.transform(lines, item), "")
-    about = F.concat(F.lit("<HEADER><FILEDESC><TITLESTMT><AUTHOR> "), F.col("source"), F.lit(" </AUTHOR><AUTHOR>other</AUTHOR></TITLESTMT><SOURCEDESC><BIBLFULL><PUBLICATIONSTMT><PUBPLACE>"), F.col("lang"), F.lit("</PUBPLACE>"),
+    about = F.concat(F.lit("<HEADER><FILEDESC><TITLESTMT><AUTHOR> "), F.coalesce("source", F.lit("")), F.lit(" </AUTHOR><AUTHOR>other</AUTHOR></TITLESTMT><SOURCEDESC><BIBLFULL><PUBLICATIONSTMT><PUBPLACE>"), F.coalesce("lang", F.lit("")), F.lit("</PUBPLACE>"),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<DATE>"), 1500 + F.col("doc_id") % 400, F.lit("</DATE>"))).otherwise(F.concat(F.lit('<DATE VALUE="'), 1500 + F.col("doc_id") % 400, F.lit('"/>'))), F.lit("</PUBLICATIONSTMT></BIBLFULL></SOURCEDESC></FILEDESC></HEADER>"))
     text = F.concat(F.lit("<DIV>" if nested else ""), body, F.lit("</DIV><P>last</P>" if nested else ""))
     end = F.when(F.col("doc_id") % 11 == 10, F.lit("</TEXT></ETS>")).otherwise(F.lit("</TEXT></EEBO></ETS>"))
@@ -356,7 +364,7 @@ def xml_date_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("xml_empty_pages", f"WITH x AS (SELECT doc_id, {LINES} AS l FROM documents) SELECT doc_id, CAST(greatest(len(l) - 1, 0) AS BIGINT) AS siblings, CAST(len(l) AS BIGINT) AS ordered FROM x WHERE len(l) > 1")
 def xml_empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two breaks after each line: every other page is empty and no page."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = _lines()
     clean = F.transform(lines, lambda x: F.concat(F.lit("<P>"), F.translate(x, "&<>", "   "), F.lit(".</P>")))
     xml = F.concat(F.lit("<ETS><EEBO><TEXT>"), F.array_join(clean, "<PB/><PB/>"), F.lit("</TEXT></EEBO></ETS>"))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), xml.cast("binary").alias("content"), F.size(lines).alias("n")).where("n > 1")
