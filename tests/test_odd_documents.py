@@ -40,3 +40,22 @@ def test_lines_with_digits_at_their_ends(spark, tmp_path, name):
 def test_pages_of_documents_without_source(spark, tmp_path, name):
     ours, sql = both(spark, name, folder_of(spark, tmp_path, ["a\nb\nc\nd", "e"], source=None))
     assert ours == sql and ours
+
+
+def test_decode_moves_rare_ids_only(spark, tmp_path):
+    """The 100 frequent words of each document are not joined by token or id; the texts are as before."""
+    from pyspark.sql import functions as F
+
+    from vellum.operators import tokens
+
+    texts = [" ".join(f"word{k % 100}" for k in range(2000)) + f" once{i}" for i in range(50)] + ["", None, " \t "]
+    folder = folder_of(spark, tmp_path, texts)
+    ours, sql = both(spark, "decode_round_trip", folder)
+    assert ours == sql and len(ours) == 50
+    rows = tokens.token_rows(spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id"], tokens.whitespace_tokens(F.col("text")))
+    tokens.build_vocabulary(rows, counts=True).write.parquet(f"{tmp_path}/v")
+    vocabulary = spark.read.parquet(f"{tmp_path}/v")
+    for hot in (0, 1, 60, 1000):
+        ids = tokens.encode(rows, vocabulary, hot=hot)
+        assert sorted(map(tuple, tokens.decode(ids, vocabulary, ["doc_id"], hot=hot).collect()), key=repr) == ours
+        assert tokens.decode(ids.where("FALSE"), vocabulary, ["doc_id"], hot=hot).count() == 0

@@ -71,7 +71,7 @@ def word_piece_file(vocabulary: list[str], path: str, unknown: str = "[UNK]") ->
 def build_vocabulary(tokens: DataFrame, column: str = "token", first_id: int = 0, counts: bool = False) -> DataFrame:
     """``token, id`` of the distinct tokens, numbered in binary order; with ``counts`` also ``n``, how often each occurs."""
     distinct = tokens.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    numbered = global_number(distinct if counts else distinct.drop("n"), F.substring("token", 1, 3), ["token"], "_n")
+    numbered = global_number(distinct if counts else distinct.drop("n"), F.substring("token", 1, 3), ["token"], "_n", F.col("n") > 0 if counts else None)
     return numbered.select("token", (F.col("_n") - 1 + first_id).cast("long").alias("id"), *["n"] * counts)
 
 
@@ -94,6 +94,11 @@ def token_rows(df: DataFrame, key: list[str], tokens: Column) -> DataFrame:
     return df.select(*key, F.posexplode(tokens).alias("pos", "token"))
 
 
+def most_frequent(vocabulary: DataFrame, most: int) -> DataFrame:
+    """``token, id`` of the tokens that occur most often, ``most`` at most, and more than once."""
+    return vocabulary.where("n > 1").orderBy(F.desc("n"), "id").limit(most).select("token", "id")
+
+
 def encode(rows: DataFrame, vocabulary: DataFrame, unknown_id: int | None = None, hot: int = 0) -> DataFrame:
     """Adds ``id`` to token rows; tokens that the vocabulary lacks get ``unknown_id``.
 
@@ -104,14 +109,26 @@ def encode(rows: DataFrame, vocabulary: DataFrame, unknown_id: int | None = None
     known = vocabulary.select("token", "id")
     if not hot:
         return rows.join(known, "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown_id).cast("long")))
-    frequent = vocabulary.orderBy(F.desc("n"), "id").limit(hot).select("token", "id")
+    frequent = most_frequent(vocabulary, hot)
     common = rows.join(F.broadcast(frequent), "token")
     rare = rows.join(F.broadcast(frequent.select("token")), "token", "left_anti").join(known, "token", "left")
     return common.unionByName(rare.withColumn("id", F.coalesce("id", F.lit(unknown_id).cast("long"))))
 
 
-def decode(rows: DataFrame, vocabulary: DataFrame, key: list[str], separator: str = " ") -> DataFrame:
-    """``key, text`` from rows of ``key, pos, id``."""
-    named = rows.select(*key, "pos", "id").join(vocabulary.select("id", "token"), "id")
-    parts = F.sort_array(F.collect_list(F.struct("pos", "token")))
-    return named.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["token"]), separator).alias("text"))
+def decode(rows: DataFrame, vocabulary: DataFrame, key: list[str], separator: str = " ", hot: int = 0) -> DataFrame:
+    """``key, text`` from rows of ``key, pos, id``; ids that the vocabulary lacks are left out.
+
+    With ``hot`` as in ``encode``: the most frequent ids are named by a broadcast, where a row's neighbours still stand beside
+    it, so that most of a text is put together before it is moved; only the other rows are joined by id.
+    """
+    ids, known = rows.select(*key, "pos", "id").where(F.col("id").isNotNull()), vocabulary.select("id", "token")
+    if hot:
+        frequent = most_frequent(vocabulary, hot)
+        rare = ids.join(F.broadcast(frequent.select("id")), "id", "left_anti").join(known, "id")
+        named = ids.join(F.broadcast(frequent), "id").unionByName(rare)
+    else:
+        named = ids.join(known, "id")
+    # two flat lists, filled in the same order, take half the bytes of a list of structs
+    lists = named.groupBy(*key).agg(F.collect_list("pos").alias("_pos"), F.collect_list("token").alias("_tokens"))
+    parts = F.sort_array(F.zip_with("_pos", "_tokens", lambda p, t: F.struct(p.alias("pos"), t.alias("token"))))
+    return lists.select(*key, F.array_join(F.transform(parts, lambda x: x["token"]), separator).alias("text"))

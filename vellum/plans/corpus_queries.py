@@ -507,5 +507,7 @@ def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("decode_round_trip", f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS text FROM documents WHERE len({WORDS.format('text')}) > 0")
 def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _token_rows(spark, sf_dir)
-    vocabulary = tokens.build_vocabulary(rows)
-    return tokens.decode(tokens.encode(rows, vocabulary).select("doc_id", "pos", "id"), vocabulary, ["doc_id"])
+    path = shared_folder(spark, "vocabulary")
+    tokens.build_vocabulary(rows, counts=True).write.parquet(path)
+    vocabulary = spark.read.parquet(path)
+    return tokens.decode(tokens.encode(rows, vocabulary, hot=100_000), vocabulary, ["doc_id"], hot=100_000)
