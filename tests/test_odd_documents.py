@@ -59,3 +59,22 @@ def test_decode_moves_rare_ids_only(spark, tmp_path):
         ids = tokens.encode(rows, vocabulary, hot=hot)
         assert sorted(map(tuple, tokens.decode(ids, vocabulary, ["doc_id"], hot=hot).collect()), key=repr) == ours
         assert tokens.decode(ids.where("FALSE"), vocabulary, ["doc_id"], hot=hot).count() == 0
+
+
+def test_pages_are_returned_in_bounded_pieces(spark, monkeypatch):
+    """A batch of many files doesn't hold all its pages before the first are returned."""
+    import pyarrow as pa
+
+    from vellum.sources import xml_pages
+
+    taken = {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: taken.update(run=run) or self)
+    xml_pages.parse_pages(spark.createDataFrame([("a", b"")], "path string, content binary"), with_errors=True)
+    page = b"<P>" + b"x" * 99_999 + b"</P>"
+    files = [b"<ETS><EEBO><TEXT>" + page + b"</TEXT></EEBO></ETS>"] * 100 + [b"<ETS>", None]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(102)], "content": pa.array(files, pa.binary())})
+    pieces = list(taken["run"](iter([batch])))
+    assert max(p.num_rows for p in pieces) <= 12
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [r["path"] for r in rows] == [str(i) for i in range(102)] and [r["error"] is None for r in rows] == [True] * 100 + [False] * 2
+    assert {len(r["page_text"]) for r in rows[:100]} == {99_999} and {r["page_no"] for r in rows[:100]} == {0}

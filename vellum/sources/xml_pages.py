@@ -9,14 +9,17 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellum.schemas import PAGE_FIELDS, PARSED_PAGES
 
 UNKNOWN, BREAK = "Unknown", "PB"
 MODES = ("sibling", "document_order")
+#: Characters and rows of pages after which a task returns what it holds.
+PIECE, PIECE_ROWS = 1_000_000, 2_000
 
 
 def spaced(element: ET.Element) -> str:
@@ -105,26 +108,39 @@ def parse_document(content: bytes, mode: str = "sibling", content_tag: str = "EE
 def parse_pages(files: DataFrame, mode: str = "sibling", content_tag: str = "EEBO", with_errors: bool = False) -> DataFrame:
     """``path, author, place, date, page_text, page_no, error`` of ``files`` (``path, content``).
 
-    ``error`` is null for pages; with ``with_errors`` a file that can't be parsed gives one row with its error.
+    ``error`` is null for pages; with ``with_errors`` a file that can't be parsed gives one row with its error. Files are read
+    from their batch one at a time and pages returned in bounded pieces, so a task holds its batch, a file and a piece.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(PARSED_PAGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            paths, contents = batch.column("path"), batch.column("content")
+            rows, held = [], 0
+            for k in range(batch.num_rows):
+                path = paths[k].as_py()
                 try:
-                    found = parse_document(bytes(content), mode, content_tag)
+                    found = parse_document(bytes(contents[k].as_py()), mode, content_tag)
                 except Exception as error:  # any failure skips the file, whatever the parser raised
                     if with_errors:
                         rows.append((path, None, None, None, None, None, f"{type(error).__name__}: {error}"))
                     continue
                 rows += [(path, *(p[f] for f in PAGE_FIELDS), n, None) for n, p in enumerate(found)]
-            out = pd.DataFrame(rows, columns=PARSED_PAGES.fieldNames(), dtype=object)
-            yield out.astype({"page_no": "Int32"})
+                held += sum(len(p["page_text"]) for p in found)
+                if held > PIECE or len(rows) > PIECE_ROWS:
+                    yield _record_batch(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield _record_batch(rows, schema)
+
+    return files.select("path", "content").mapInArrow(run, PARSED_PAGES)
+
 
-    return files.select("path", "content").mapInPandas(run, PARSED_PAGES)
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def xml_files(spark: SparkSession, path: str | list[str], max_files: int | None = None, glob: str = "*.xml") -> DataFrame:
