@@ -78,3 +78,15 @@ def test_pages_are_returned_in_bounded_pieces(spark, monkeypatch):
     rows = [r for p in pieces for r in p.to_pylist()]
     assert [r["path"] for r in rows] == [str(i) for i in range(102)] and [r["error"] is None for r in rows] == [True] * 100 + [False] * 2
     assert {len(r["page_text"]) for r in rows[:100]} == {99_999} and {r["page_no"] for r in rows[:100]} == {0}
+
+
+def test_csv_keeps_odd_texts(spark, tmp_path):
+    """Missing-value spellings, empty texts, characters 0, quotes and returns come back as they are."""
+    import random
+
+    rnd = random.Random(1)
+    pieces = ["ab", "\0", '"', "\n", " ", ",", "\r", "\r\n", "\\", "#", "\t"]
+    odd = ["", "NA", "nan", "null", "None", None, "\0", '"', '""', " ", "\n", "\r", "a\0", '\0"', "#x", "\\", '\\"']
+    texts = odd + ["".join(rnd.choices(pieces, k=rnd.randint(1, 30))) for _ in range(300)]
+    ours, sql = both(spark, "csv_round_trip", folder_of(spark, tmp_path, texts, lang="", source=None))
+    assert ours == sql and len(ours) == len(texts) - 1

@@ -399,8 +399,8 @@ def xml_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("csv_round_trip", f"WITH {PAGES} SELECT source AS author, lang AS place, date, page_text FROM pages_ WHERE page_text IS NOT NULL")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "csv")
-    page_tables.write_csv(pages(spark, sf_dir).where("page_text IS NOT NULL").select(F.col("source").alias("author"), F.col("lang").alias("place"), "date", "page_text"), path)
-    return page_tables.read_csv(spark, path)
+    page_tables.write_csv(pages(spark, sf_dir).where("page_text IS NOT NULL").select(F.col("source").alias("author"), F.col("lang").alias("place"), "date", "page_text"), path, page_tables.NULL)
+    return page_tables.read_csv(spark, path, na=False)
 
 
 @query("csv_load_several", "SELECT source AS author, NULL AS place, lang AS date, 'even' AS page_text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, 'odd', lang, NULL FROM documents WHERE doc_id % 2 = 1")

@@ -10,18 +10,21 @@ from pyspark.sql import types as T
 from vellum.functions.text import missing_to_null
 from vellum.schemas import PAGES
 
-CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "lineSep": "\n"}
+# without charToEscapeQuoteEscaping a character 0 before a quote is taken for an escape and lost
+CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "lineSep": "\n"}
+#: Stands for null in files that must tell it from an empty text: a code point that is no character.
+NULL = "\ufdd0"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = PAGES, na: bool = True) -> DataFrame:
-    """Pages of CSV files with quoted line breaks. Dates stay strings; pandas' missing spellings become null."""
-    df = spark.read.schema(schema).options(**CSV, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", nullValue="\0").option("pathGlobFilter", "*.csv").csv(path)
+    """Pages of CSV files with quoted line breaks. Dates stay strings; pandas' missing spellings become null, with ``na``."""
+    df = spark.read.schema(schema).options(**CSV, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", nullValue=NULL).option("pathGlobFilter", "*.csv").csv(path)
     return missing_to_null(df) if na else df
 
 
-def write_csv(pages: DataFrame, path: str) -> None:
-    """With a header, also for an empty table."""
-    pages.write.mode("overwrite").options(header="true", quote='"', escape='"', quoteAll="true", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+def write_csv(pages: DataFrame, path: str, null: str = "") -> None:
+    """With a header, also for an empty table. ``null`` is what is written for it; ``NULL`` is read as null without ``na``."""
+    pages.write.mode("overwrite").options(header="true", quote='"', escape='"', quoteAll="true", emptyValue="", nullValue=null, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def write_parquet(pages: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
