@@ -90,3 +90,23 @@ def test_csv_keeps_odd_texts(spark, tmp_path):
     texts = odd + ["".join(rnd.choices(pieces, k=rnd.randint(1, 30))) for _ in range(300)]
     ours, sql = both(spark, "csv_round_trip", folder_of(spark, tmp_path, texts, lang="", source=None))
     assert ours == sql and len(ours) == len(texts) - 1
+
+
+def test_strip_and_draws_as_before(spark):
+    """What replaced an expression over each blank or token gives what that gave."""
+    from pyspark.sql import functions as F
+
+    from vellum.functions.text import PY_SPACE, py_strip
+    from vellum.operators import dataset, summary, tokens
+
+    texts = ["", " ", None, "a", "　a b ​\n", "\x1c\x85a\x00\t", "﻿a ", "é  ", "a" + " " * 50 + "b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    got = df.select(py_strip("t"), F.regexp_replace("t", rf"\A{PY_SPACE}+|{PY_SPACE}+\z", ""), tokens.whitespace_tokens(F.col("t"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == [None if t is None else t.strip() for t in texts]
+    assert [r[2] for r in got] == [None if t is None else [w for w in __import__("re").split("[\t-\r ]+", t) if w] for t in texts]
+    p = dataset.PRIME
+    digest = __import__("hashlib").md5(b"42:7").hexdigest()
+    a, b, c = (int(digest[i : i + 8], 16) % p for i in (0, 8, 16))
+    ids = F.array(*[F.lit(9)] * 500)
+    row = spark.range(1).select(dataset.token_draws(42, F.lit(7), ids), summary.active_positions(F.array(*map(F.lit, (1, 0, 1)))), summary.active_positions(F.lit(None).cast("array<int>"))).first()
+    assert row[0] == [((((a + b * (i + 1)) % p) ** 2 % p + c) % p) ** 2 % p for i in range(500)] and row[1:] == (2, None)

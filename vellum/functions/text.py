@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 # The code points that str.strip() removes, as a Java character class.
 PY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+PY_BLANKS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # The spellings that pandas reads as missing.
 NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def py_strip(c: Column | str) -> Column:
-    """Like ``str.strip()``."""
+    """Like ``str.strip()``. Only the ends are read, where an expression would try each blank of the text."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, rf"\A{PY_SPACE}+|{PY_SPACE}+\z", "")
+    return F.btrim(c, F.lit(PY_BLANKS))
 
 
 def strip_left(c: Column, char: str) -> Column:

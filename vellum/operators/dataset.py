@@ -61,10 +61,12 @@ def token_draws(seed: int, key: Column, tokens: Column) -> Column:
     digest = seeded_key(seed, key)
     a, b, c = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9, 17))
     keys = F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
-    square = lambda x: x * x % PRIME
 
     def draw(k: Column) -> Column:
-        return F.transform(tokens, lambda _, i: square((square((k["a"] + k["b"] * (i.cast("long") + 1)) % PRIME) + k["c"]) % PRIME))
+        # a list for each step: a lambda computes again what it names twice
+        x = F.transform(tokens, lambda _, i: (k["a"] + k["b"] * (i.cast("long") + 1)) % PRIME)
+        y = F.transform(x, lambda v: (v * v % PRIME + k["c"]) % PRIME)
+        return F.transform(y, lambda v: v * v % PRIME)
 
     # a row's numbers are the start of a fold over one element, so that they are computed once
     return F.aggregate(F.array(keys), F.array().cast("array<bigint>"), lambda _, k: draw(k))

@@ -13,8 +13,8 @@ def corpus_summary(pages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def active_positions(mask: Column) -> Column:
-    """Sum of an attention mask."""
-    return F.aggregate(mask, F.lit(0), lambda a, x: a + x)
+    """Sum of an attention mask of 0 and 1: how many of its positions aren't 0."""
+    return F.when(mask.isNotNull(), F.size(F.array_remove(mask, F.lit(0))))
 
 
 def predicted_positions(labels: Column, ignored: int = -100) -> Column:
@@ -31,9 +31,9 @@ def validation_report(sequences: DataFrame, batched: DataFrame, key: list[str])
     text = lambda c: c.cast("string")
     own = sequences.agg(
         F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(active_positions(F.col("attention_mask"))), F.lit(0)).alias("active"),
-        F.min_by(F.struct(F.size("tokens").alias("n"), F.array_join(F.slice("tokens", 1, 50), " ").alias("head")), F.struct(*key)).alias("first"),
+        F.min_by(F.struct(F.size("tokens").alias("n"), F.slice("tokens", 1, 50).alias("head")), F.struct(*key)).alias("first"),
     )
-    items = {"sequences": F.col("sequences"), "tokens": F.col("tokens"), "active": F.col("active"), "first_length": F.col("first.n"), "first_tokens": F.col("first.head")}
+    items = {"sequences": F.col("sequences"), "tokens": F.col("tokens"), "active": F.col("active"), "first_length": F.col("first.n"), "first_tokens": F.array_join("first.head", " ")}
     out = own.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), text(v).alias("value")) for k, v in items.items()])).alias("_i")).select("_i.*")
     of = batched.agg(F.count_distinct("batch_id").alias("batches"), F.coalesce(F.max("padded_length"), F.lit(0)).alias("batch_length"), F.coalesce(F.sum(predicted_positions(F.col("labels"))), F.lit(0)).alias("predicted"))
     more = of.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), text(F.col(k)).alias("value")) for k in ("batches", "batch_length", "predicted")])).alias("_i")).select("_i.*")

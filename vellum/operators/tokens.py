@@ -20,7 +20,7 @@ CLS, SEP, PAD, MASK, TIME = "[CLS]", "[SEP]", "[PAD]", "[MASK]", "[TIME]"
 
 def whitespace_tokens(text: Column) -> Column:
     """Words between runs of ASCII white space; an empty text has none."""
-    return F.filter(F.split(text, r"[\t-\r ]+"), lambda x: x != "")
+    return F.array_remove(F.split(text, r"[\t-\r ]+"), "")
 
 
 def regex_tokens(text: Column, pattern: str = r"\w+|[^\w\s]") -> Column:
